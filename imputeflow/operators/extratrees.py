@@ -1,0 +1,175 @@
+"""Extremely randomised regression trees, grown level by level from Spark aggregates.
+
+A level takes two scans: the range of every feature in every open node, then the sums left
+of a threshold drawn in that range. Tasks add up their batches and pass on one small table
+per partition; the number of nodes, not of rows, bounds what reaches the driver.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+TREES_PER_SCAN = 25
+
+
+def node_draw(seed: int, tree: int, node: int, feat: int) -> float:
+    text = f"{seed}|{tree}|{node}|{feat}".encode()
+    return int(hashlib.md5(text).hexdigest()[:13], 16) / 16**13
+
+
+class Tree:
+    """Nodes in heap order: feature (-1 for a leaf), threshold, mean of the target."""
+
+    def __init__(self, depth: int):
+        size = 1 << (depth + 1)
+        self.feat = np.full(size, -1, np.int32)
+        self.thr = np.zeros(size)
+        self.mean = np.zeros(size)
+
+    def descend(self, x: np.ndarray, levels: int) -> np.ndarray:
+        node = np.ones(len(x), np.int64)
+        rows = np.arange(len(x))
+        for _ in range(levels):
+            f = self.feat[node]
+            go = f >= 0
+            right = x[rows, np.maximum(f, 0)] > self.thr[node]
+            node = np.where(go, 2 * node + right, node)
+        return node
+
+
+def _rows(pdf):
+    x = np.asarray(pdf["x"].tolist(), float)
+    return x, pdf["y"].to_numpy(float)
+
+
+def _open_slots(trees, slots, x, level):
+    """For each tree the slot of every row that sits in an open node, else -1."""
+    for t, tree in enumerate(trees):
+        table = np.full(len(tree.feat), -1, np.int64)
+        for node, slot in slots[t].items():
+            table[node] = slot
+        yield t, table[tree.descend(x, level)]
+
+
+class ExtraTreesRegressor:
+    def __init__(self, num_trees: int = 300, max_depth: int = 10, min_split: int = 2, seed: int = 0):
+        self.num_trees, self.max_depth = num_trees, max_depth
+        self.min_split, self.seed = min_split, seed
+
+    def fit(self, df: DataFrame, xs: list[str], y: str) -> "ExtraTreesModel":
+        src = df.select(F.array(*[F.col(c).cast("double") for c in xs]).alias("x"),
+                        F.col(y).cast("double").alias("y"))
+        trees = []
+        for first in range(0, self.num_trees, TREES_PER_SCAN):
+            numbers = range(first, min(first + TREES_PER_SCAN, self.num_trees))
+            trees += self._grow(src, list(numbers), len(xs))
+        return ExtraTreesModel(trees, self.max_depth, xs)
+
+    def _grow(self, src: DataFrame, numbers: list[int], p: int) -> list[Tree]:
+        trees = [Tree(self.max_depth) for _ in numbers]
+        open_nodes = [[1] for _ in numbers]
+        for level in range(self.max_depth + 1):
+            order = [(t, node) for t, nodes in enumerate(open_nodes) for node in nodes]
+            if not order:
+                break
+            slots = [{} for _ in numbers]
+            for slot, (t, node) in enumerate(order):
+                slots[t][node] = slot
+            ranges = self._ranges(src, trees, slots, len(order), p, level)
+            draws = np.array([[node_draw(self.seed, numbers[t], node, f) for f in range(p)]
+                              for t, node in order])
+            lo, hi, n, sy, syy = ranges
+            thr = lo + draws * (hi - lo)
+            spread = syy - sy * sy / np.maximum(n, 1)
+            splits = (n >= self.min_split) & (spread > 1e-12 * np.maximum(np.abs(syy), 1e-300))
+            splits &= (hi > lo).any(axis=1) & (level < self.max_depth)
+            for slot, (t, node) in enumerate(order):
+                trees[t].mean[node] = sy[slot] / max(n[slot], 1)
+            open_nodes = [[] for _ in numbers]
+            if not splits.any():
+                break
+            left_n, left_y = self._left_sums(src, trees, slots, thr, len(order), p, level)
+            for slot, (t, node) in enumerate(order):
+                nl, nr = left_n[slot], n[slot] - left_n[slot]
+                ok = splits[slot] & (nl > 0) & (nr > 0)
+                if not ok.any():
+                    continue
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gain = left_y[slot] ** 2 / nl + (sy[slot] - left_y[slot]) ** 2 / nr
+                f = int(np.argmax(np.where(ok, gain, -np.inf)))
+                trees[t].feat[node], trees[t].thr[node] = f, thr[slot, f]
+                open_nodes[t] += [2 * node, 2 * node + 1]
+        return trees
+
+    def _ranges(self, src, trees, slots, n_slots, p, level):
+        def partial(batches):
+            lo, hi = np.full((n_slots, p), np.inf), np.full((n_slots, p), -np.inf)
+            sums = np.zeros((n_slots, 3))
+            for pdf in batches:
+                x, y = _rows(pdf)
+                for _, slot in _open_slots(trees, slots, x, level):
+                    here = slot >= 0
+                    np.minimum.at(lo, slot[here], x[here])
+                    np.maximum.at(hi, slot[here], x[here])
+                    for i, v in enumerate((np.ones(here.sum()), y[here], y[here] ** 2)):
+                        sums[:, i] += np.bincount(slot[here], v, n_slots)
+            at = np.flatnonzero(sums[:, 0])
+            yield pd.DataFrame({"slot": at, "lo": lo[at].tolist(), "hi": hi[at].tolist(),
+                                "n": sums[at, 0], "sy": sums[at, 1], "syy": sums[at, 2]})
+
+        parts = src.mapInPandas(partial, "slot long, lo array<double>, hi array<double>, "
+                                         "n double, sy double, syy double")
+        rows = parts.groupBy("slot").agg(
+            F.array(*[F.min(F.col("lo")[f]) for f in range(p)]).alias("lo"),
+            F.array(*[F.max(F.col("hi")[f]) for f in range(p)]).alias("hi"),
+            F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy")).collect()
+        lo, hi = np.zeros((n_slots, p)), np.zeros((n_slots, p))
+        sums = np.zeros((3, n_slots))
+        for r in rows:
+            lo[r.slot], hi[r.slot] = r.lo, r.hi
+            sums[:, r.slot] = r.n, r.sy, r.syy
+        return lo, hi, *sums
+
+    def _left_sums(self, src, trees, slots, thr, n_slots, p, level):
+        def partial(batches):
+            acc = np.zeros((2, n_slots, p))
+            for pdf in batches:
+                x, y = _rows(pdf)
+                for _, slot in _open_slots(trees, slots, x, level):
+                    here = slot >= 0
+                    s, xs, ys = slot[here], x[here], y[here]
+                    left = xs <= thr[s]
+                    for f in range(p):
+                        acc[0, :, f] += np.bincount(s, left[:, f], n_slots)
+                        acc[1, :, f] += np.bincount(s, left[:, f] * ys, n_slots)
+            at = np.flatnonzero(acc[0].any(axis=1))
+            yield pd.DataFrame({"slot": at, "n": acc[0, at].tolist(), "sy": acc[1, at].tolist()})
+
+        parts = src.mapInPandas(partial, "slot long, n array<double>, sy array<double>")
+        rows = parts.groupBy("slot").agg(
+            F.array(*[F.sum(F.col("n")[f]) for f in range(p)]).alias("n"),
+            F.array(*[F.sum(F.col("sy")[f]) for f in range(p)]).alias("sy")).collect()
+        left_n, left_y = np.zeros((n_slots, p)), np.zeros((n_slots, p))
+        for r in rows:
+            left_n[r.slot], left_y[r.slot] = r.n, r.sy
+        return left_n, left_y
+
+
+class ExtraTreesModel:
+    def __init__(self, trees: list[Tree], depth: int, xs: list[str]):
+        self.trees, self.depth, self.xs = trees, depth, list(xs)
+
+    def add_prediction(self, df: DataFrame, out: str) -> DataFrame:
+        trees, depth = self.trees, self.depth
+
+        @F.pandas_udf("double")
+        def vote(x: pd.Series) -> pd.Series:
+            arr = np.asarray(x.tolist(), float)
+            return pd.Series(sum(t.mean[t.descend(arr, depth)] for t in trees) / len(trees))
+
+        return df.withColumn(out, vote(F.array(*[F.col(c).cast("double") for c in self.xs])))
