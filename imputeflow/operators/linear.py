@@ -31,9 +31,11 @@ def moments(df: DataFrame, exprs: list[Column], by: list[str] | None = None,
     tables stay in generated code, wide ones sum Arrow batches with one product each.
     """
     by = by or []
-    vec = [F.lit(1.0), *exprs]
-    q = len(vec)
-    w = F.lit(1.0) if weight is None else weight
+    q = len(exprs) + 1
+    # named first, so that each value is worked out once per row and not once per product
+    df = df.select(*by, *[e.alias(f"__x{i}") for i, e in enumerate(exprs)],
+                   (F.lit(1.0) if weight is None else weight).alias("__wt"))
+    vec, w = [F.lit(1.0), *[F.col(f"__x{i}") for i in range(len(exprs))]], F.col("__wt")
     if q * (q + 1) // 2 <= WIDE_MOMENTS:
         sums = [F.sum(w * vec[i] * vec[j]) for i in range(q) for j in range(i, q)]
         rows = df.groupBy(*by).agg(F.array(*sums).alias("m")).collect()

@@ -35,11 +35,13 @@ class PatternMoments:
         self.cols, self.holes, self.means, self.sums = list(cols), list(holes), means, sums
 
     @classmethod
-    def of(cls, df: DataFrame, cols, holes, by: str | None = None) -> "PatternMoments":
+    def of(cls, df: DataFrame, cols, holes, by: str | None = None,
+           weight: Column | None = None) -> "PatternMoments":
         means = df.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
         exprs = [F.coalesce(F.col(c) - F.lit(means[c]), F.lit(0.0)) for c in cols]
         src = df.withColumn("__pattern", pattern_column(holes))
-        return cls(cols, holes, means, moments(src, exprs, by=([by] if by else []) + ["__pattern"]))
+        return cls(cols, holes, means, 
+                   moments(src, exprs, ([by] if by else []) + ["__pattern"], weight))
 
     @property
     def q(self) -> int:
