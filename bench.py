@@ -22,6 +22,7 @@ from imputeflow.operators.knn_impute import KnnImputer  # noqa: E402
 from imputeflow.operators.lowrank import SvdImputer  # noqa: E402
 from imputeflow.operators.mice import ChainedImputer  # noqa: E402
 from imputeflow.operators.simple import SimpleImputer  # noqa: E402
+from imputeflow.session import ship_package  # noqa: E402
 from imputeflow.operators.split import stratified_folds  # noqa: E402
 from imputeflow.sources.tables import EMB8, WIDE8, emb8, wide8  # noqa: E402
 
@@ -36,6 +37,7 @@ def main() -> None:
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     feats = list(WIDE8.feats)
     spent: dict[str, float] = {}
 

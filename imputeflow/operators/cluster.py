@@ -151,7 +151,7 @@ def silhouette_rows(df: DataFrame, cols, key: str, cluster: str = "cluster",
 
     def block(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(d):
-            return pd.DataFrame({"k": [], "c": [], "s": []})
+            return pd.DataFrame({"k": [], "c": [], "s": []}, dtype=object)
         qx, dx = np.asarray(q["x"].tolist(), float), np.asarray(d["x"].tolist(), float)
         member = np.zeros((len(d), len(names)))
         member[np.arange(len(d)), d["c"].map(where)] = 1.0

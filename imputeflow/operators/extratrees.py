@@ -119,8 +119,9 @@ class ExtraTreesRegressor:
                     for i, v in enumerate((np.ones(here.sum()), y[here], y[here] ** 2)):
                         sums[:, i] += np.bincount(slot[here], v, n_slots)
             at = np.flatnonzero(sums[:, 0])
-            yield pd.DataFrame({"slot": at, "lo": lo[at].tolist(), "hi": hi[at].tolist(),
-                                "n": sums[at, 0], "sy": sums[at, 1], "syy": sums[at, 2]})
+            if len(at):
+                yield pd.DataFrame({"slot": at, "lo": lo[at].tolist(), "hi": hi[at].tolist(),
+                                    "n": sums[at, 0], "sy": sums[at, 1], "syy": sums[at, 2]})
 
         parts = src.mapInPandas(partial, "slot long, lo array<double>, hi array<double>, "
                                          "n double, sy double, syy double")
@@ -148,7 +149,8 @@ class ExtraTreesRegressor:
                         acc[0, :, f] += np.bincount(s, left[:, f], n_slots)
                         acc[1, :, f] += np.bincount(s, left[:, f] * ys, n_slots)
             at = np.flatnonzero(acc[0].any(axis=1))
-            yield pd.DataFrame({"slot": at, "n": acc[0, at].tolist(), "sy": acc[1, at].tolist()})
+            if len(at):
+                yield pd.DataFrame({"slot": at, "n": acc[0, at].tolist(), "sy": acc[1, at].tolist()})
 
         parts = src.mapInPandas(partial, "slot long, n array<double>, sy array<double>")
         rows = parts.groupBy("slot").agg(

@@ -126,21 +126,21 @@ def _matrix(series) -> np.ndarray:
     return np.array([[np.nan if v is None else v for v in row] for row in series], float)
 
 
-def _text_group(g):
-    return "" if g is None else str(g)
-
-
 class NeighbourJoin:
     """``k`` nearest donors of every query row.
 
     ``per_column`` asks, for each missing column of a query, for the nearest donors that know
     it; otherwise all donors count. ``group`` restricts both sides to equal groups. A donor
-    with the query's own key is never its neighbour.
+    with the query's own key is never its neighbour. The result carries the donor's values
+    (``dx``, if asked for) and ``tag``, so that nothing has to be joined back by donor: a
+    donor near very many rows would make a skewed key.
     """
 
     def __init__(self, key: str, cols, k: int, group: str | None = None, per_column: bool = False,
+                 tag: str | None = None, carry: bool = False,
                  block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS):
         self.key, self.cols, self.k = key, list(cols), k
+        self.tag, self.carry = tag, carry
         self.group, self.per_column = group, per_column
         self.block_rows, self.query_rows = block_rows, query_rows
 
@@ -148,7 +148,8 @@ class NeighbourJoin:
 
     def _packed(self, df: DataFrame) -> DataFrame:
         group = F.col(self.group).cast("string") if self.group else F.lit("")
-        return df.select(F.col(self.key).alias("k"), group.alias("g"),
+        tag = F.col(self.tag).cast("string") if self.tag else F.lit(None).cast("string")
+        return df.select(F.col(self.key).alias("k"), group.alias("g"), tag.alias("t"),
                          F.array(*[F.col(c).cast("double") for c in self.cols]).alias("x"))
 
     def _distinct_donors(self, donors: DataFrame) -> DataFrame:
@@ -162,6 +163,9 @@ class NeighbourJoin:
 
     def _cells(self, donors: DataFrame):
         donors = donors.withColumn("s", self._strata())
+        if donors.select("g", "s").distinct().limit(MAX_CELLS + 1).count() > MAX_CELLS:
+            # too many patterns to tell apart: cells of mixed rows, which no bound can skip
+            donors = donors.withColumn("s", F.col("g"))
         counts = {(r.g, r.s): r["count"] for r in donors.groupBy("g", "s").count().collect()}
         n = sum(counts.values())
         by_group: dict = {}
@@ -187,7 +191,6 @@ class NeighbourJoin:
 
         placed = donors.withColumn("cell", cell_of(F.col(stratum), F.col("x"))).drop("s")
         p = len(self.cols)
-        # spread before the boxes are taken, so that the sample's cells stay as they are
         stats = placed.groupBy("cell", "g").agg(
             F.count("*").alias("n"),
             F.array(*[F.count(F.col("x")[i]) for i in range(p)]).alias("known"),
@@ -262,12 +265,12 @@ class NeighbourJoin:
         d = (placed.join(F.broadcast(plan), "cell")
              .withColumn("dc", F.pmod(F.xxhash64("k"), F.col("dn")).cast("int"))
              .withColumn("qc", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)))
-             .select("cell", "dc", "qc", F.col("k").alias("dk"), F.col("x").alias("dx")))
-        key_type = routed.schema["k"].dataType.simpleString()
+             .select("cell", "dc", "qc", F.col("k").alias("dk"), F.col("x").alias("dx"), F.col("t").alias("dt")))
+        carry = self.carry
 
         def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
-                return pd.DataFrame({"k": [], "target": [], "dk": [], "dist": [], "val": []})
+                return pd.DataFrame({c: [] for c in ("k", "target", "dk", "dist", "val", "dt", "dx")}, dtype=object)
             right = right.sort_values("dk", ignore_index=True)
             dx, dk = _matrix(right["dx"]), right["dk"].to_numpy()
             qx, qk = _matrix(left["x"]), left["k"].to_numpy()
@@ -275,30 +278,39 @@ class NeighbourJoin:
             parts = []
             for at in range(0, len(qx), step):
                 parts.append(best_in_block(qx[at:at + step], qk[at:at + step], dx, dk, k, per_column))
-            return pd.concat(parts, ignore_index=True)
+            best = pd.concat(parts, ignore_index=True)
+            at = best.pop("at").to_numpy(int)
+            best["dt"] = right["dt"].to_numpy()[at]
+            best["dx"] = right["dx"].to_numpy()[at] if carry else None
+            return best
 
         blocks = ["cell", "dc", "qc"]
         found = q.groupBy(*blocks).cogroup(d.groupBy(*blocks)).applyInPandas(
-            block, f"k {key_type}, target int, dk {key_type}, dist double, val double")
+            block, self._schema(routed))
         return self._best(found)
 
+    @staticmethod
+    def _schema(df: DataFrame) -> str:
+        key = df.schema["k"].dataType.simpleString()
+        return f"k {key}, target int, dk {key}, dist double, val double, dt string, dx array<double>"
+
     def _best(self, found: DataFrame) -> DataFrame:
         order = Window.partitionBy("k", "target").orderBy("dist", "dk")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k)
 
     def join(self, queries: DataFrame, donors: DataFrame) -> DataFrame:
-        """Rows ``(k, target, dk, dist, val, rank)``; target is -1 or the column asked for."""
+        """Rows ``(k, target, dk, dist, val, dt, dx, rank)``; target is -1 or the column asked for."""
         q = self._packed(queries)
         placed, cells = self._cells(self._distinct_donors(self._packed(donors)))
         if not len(cells.ids):
-            key_type = q.schema["k"].dataType.simpleString()
-            return q.sparkSession.createDataFrame(
-                [], f"k {key_type}, target int, dk {key_type}, dist double, val double, rank int")
+            return q.sparkSession.createDataFrame([], self._schema(q) + ", rank int")
         if self.per_column:
             q = q.where(F.exists("x", lambda v: v.isNull()))
         home = self._router(cells, first=True)
         if len(set(cells.group)) == len(cells.ids):
             # a single cell per group: every row simply meets its group's cell
+            if self.group is None:
+                return self._meet(q.select("k", "x", F.lit(int(cells.ids[0])).alias("cell")), placed, cells)
             held = q.sparkSession.createDataFrame([(int(c), g) for c, g in zip(cells.ids, cells.group)],
                                                   "cell long, g string")
             return self._meet(q.join(F.broadcast(held), "g").select("k", "x", "cell"), placed, cells)
@@ -333,7 +345,7 @@ def best_in_block(qx, qk, dx, dk, k, per_column) -> pd.DataFrame:
     with np.errstate(divide="ignore", invalid="ignore"):
         dist = np.where(shared > 0, dist / shared, np.inf)
     dist[qk[:, None] == dk[None, :]] = np.inf
-    out = {"k": [], "target": [], "dk": [], "dist": [], "val": []}
+    out = {"k": [], "target": [], "dk": [], "dist": [], "val": [], "at": []}
     for t in range(qx.shape[1]) if per_column else (-1,):
         rows = np.flatnonzero(np.isnan(qx[:, t])) if t >= 0 else np.arange(len(qx))
         able = np.flatnonzero(~np.isnan(dx[:, t])) if t >= 0 else np.arange(len(dx))
@@ -350,5 +362,6 @@ def best_in_block(qx, qk, dx, dk, k, per_column) -> pd.DataFrame:
             out["target"] += [t] * len(near)
             out["dk"] += dk[able[near]].tolist()
             out["dist"] += sub[i][near].tolist()
+            out["at"] += able[near].tolist()
             out["val"] += dx[able[near], t].tolist() if t >= 0 else [np.nan] * len(near)
-    return pd.DataFrame(out)
+    return pd.DataFrame(out, dtype=None if out["k"] else object)

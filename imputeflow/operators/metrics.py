@@ -10,7 +10,8 @@ from imputeflow.functions.scalars import total
 from imputeflow.session import small_table
 from imputeflow.spec import TableSpec
 
-SCORE_BINS = 512
+ROWS_PER_BIN = 100_000
+MAX_SCORE_BINS = 16384
 
 
 def paired_cells(truth: DataFrame, masked: DataFrame, imputed: DataFrame, spec: TableSpec) -> DataFrame:
@@ -92,7 +93,8 @@ def ovo_auc(scored: DataFrame, label: str, prob: str, classes: list) -> DataFram
                  (F.col(label) == F.lit(classes[j])).cast("long").alias("neg")) for i, j in pairs])
     points = (scored.select(F.inline(cells)).where((F.col("pos") + F.col("neg")) > 0)
               .groupBy("pair", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
-    edges = points.approxQuantile("score", [i / SCORE_BINS for i in range(1, SCORE_BINS)], 0.5 / SCORE_BINS)
+    bins = min(MAX_SCORE_BINS, max(64, points.count() // ROWS_PER_BIN))
+    edges = points.approxQuantile("score", [i / bins for i in range(1, bins)], 0.5 / bins)
     splits = [-float("inf"), *sorted(set(edges)), float("inf")]
     if len(splits) > 2:
         binned = Bucketizer(splits=splits, inputCol="score", outputCol="bin").transform(points)
@@ -100,7 +102,7 @@ def ovo_auc(scored: DataFrame, label: str, prob: str, classes: list) -> DataFram
         binned = points.withColumn("bin", F.lit(0.0))
     sums = binned.groupBy("pair", "bin").agg(F.sum("neg").alias("bin_neg"))
     below = Window.partitionBy("pair").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    # at most SCORE_BINS rows per pair of classes
+    # at most MAX_SCORE_BINS rows per pair of classes
     offsets = sums.select("pair", "bin", F.coalesce(F.sum("bin_neg").over(below), F.lit(0)).alias("before"))
     inside = Window.partitionBy("pair", "bin").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     placed = (binned.withColumn("lower", F.coalesce(F.sum("neg").over(inside), F.lit(0)))

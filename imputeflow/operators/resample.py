@@ -34,22 +34,22 @@ def _text_keys(df: DataFrame, spec: TableSpec) -> DataFrame:
 def foreign_neighbours(df: DataFrame, spec: TableSpec, k: int, of: DataFrame | None = None) -> DataFrame:
     """``(key, n_near, n_foreign)``: among the k nearest rows, how many are of another class."""
     of = df if of is None else of
-    near = NeighbourJoin(spec.key, spec.feats, k).join(of, df)
-    own = of.select(F.col(spec.key).alias("k"), F.col(spec.label).alias("own"))
-    theirs = df.select(F.col(spec.key).alias("dk"), F.col(spec.label).alias("theirs"))
-    return (near.join(own, "k").join(theirs, "dk").groupBy(F.col("k").alias(spec.key))
-            .agg(F.count("*").alias("n_near"),
-                 F.count_if(F.col("own") != F.col("theirs")).alias("n_foreign")))
+    near = NeighbourJoin(spec.key, spec.feats, k, tag=spec.label).join(of, df)
+    tags = near.groupBy("k").agg(F.collect_list("dt").alias("tags"))  # at most k entries
+    own = of.select(F.col(spec.key).alias("k"), F.col(spec.label).cast("string").alias("own"))
+    return tags.join(own, "k").select(
+        F.col("k").alias(spec.key), F.size("tags").alias("n_near"),
+        F.size(F.filter("tags", lambda t: t != F.col("own"))).alias("n_foreign"))
 
 
 def tomek_links(df: DataFrame, spec: TableSpec) -> DataFrame:
     """Pairs of rows of different classes that are each other's nearest row."""
-    near = NeighbourJoin(spec.key, spec.feats, 1).join(df, df).select("k", "dk")
-    label = df.select(F.col(spec.key).alias("k"), F.col(spec.label).alias("own"))
-    tagged = near.join(label, "k")
-    back = tagged.select(F.col("k").alias("dk"), F.col("dk").alias("k"), F.col("own").alias("theirs"))
-    return (tagged.join(back, ["k", "dk"]).where((F.col("own") != F.col("theirs")) & (F.col("k") < F.col("dk")))
-            .select(F.col("k").alias("key_a"), F.col("dk").alias("key_b")))
+    near = NeighbourJoin(spec.key, spec.feats, 1, tag=spec.label).join(df, df)
+    # both ends of a link name the same pair, each with the other end's class
+    pair = near.select(F.least("k", "dk").alias("key_a"), F.greatest("k", "dk").alias("key_b"), "dt")
+    return (pair.groupBy("key_a", "key_b").agg(F.count("*").alias("n"), F.min("dt").alias("lo"),
+                                               F.max("dt").alias("hi"))
+            .where((F.col("n") == 2) & (F.col("lo") != F.col("hi"))).select("key_a", "key_b"))
 
 
 def remove_tomek(df: DataFrame, spec: TableSpec) -> DataFrame:
@@ -70,19 +70,18 @@ def _synthesise(seeds: DataFrame, df: DataFrame, spec: TableSpec, k: int, seed:
     ``seeds`` has the table's columns and ``__n``, the number of new rows. Per new row one
     draw picks the neighbour and one the place on the segment.
     """
-    near = (NeighbourJoin(spec.key, spec.feats, k, group=spec.label).join(seeds, df)
-            .select(F.col("k").alias(spec.key), "rank", "dk"))
-    n_near = near.groupBy(spec.key).agg(F.count("*").alias("__near"))
-    plan = seeds.join(n_near, spec.key).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    near = NeighbourJoin(spec.key, spec.feats, k, group=spec.label, carry=True).join(seeds, df)
+    mates = near.groupBy(F.col("k").alias(spec.key)).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "dx"))).alias("__near"))  # at most k entries
+    plan = seeds.join(mates, spec.key).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     new_key = F.concat(F.col(spec.key), F.lit("#"), F.col("__i").cast("string"))
     plan = (plan.withColumn("__new", new_key)
-            .withColumn("rank", (F.floor(hash_uniform(seed, "pick", "__new") * F.col("__near")) + 1).cast("int"))
-            .withColumn("__gap", hash_uniform(seed, "gap", "__new")))
-    mates = df.select(F.col(spec.key).alias("dk"), *[F.col(f).alias(f"__o_{f}") for f in spec.feats])
-    made = plan.join(near, [spec.key, "rank"]).join(mates, "dk")
-    return made.select(F.col("__new").alias(spec.key),
-                       *[(F.col(f) + F.col("__gap") * (F.col(f"__o_{f}") - F.col(f))).alias(f)
-                         for f in spec.feats], spec.label)
+            .withColumn("__pick", F.floor(hash_uniform(seed, "pick", "__new") * F.size("__near")).cast("int"))
+            .withColumn("__gap", hash_uniform(seed, "gap", "__new"))
+            .withColumn("__o", F.col("__near")[F.col("__pick")]["dx"]))
+    return plan.select(F.col("__new").alias(spec.key),
+                       *[(F.col(f) + F.col("__gap") * (F.col("__o")[i] - F.col(f))).alias(f)
+                         for i, f in enumerate(spec.feats)], spec.label)
 
 
 def _spread_over(seeds: DataFrame, spec: TableSpec, wanted: dict, seed: int) -> DataFrame:

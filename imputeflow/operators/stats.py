@@ -45,10 +45,11 @@ def correlation_long(df: DataFrame, cols) -> DataFrame:
     if len(cols) <= PAIRWISE_LIMIT:
         cells = []
         for i, a in enumerate(cols):
-            for j in range(i, len(cols)):
-                # both columns restricted to the rows where both are known
-                r = F.corr(a, cols[j]) if i != j else F.corr(a, a)
-                cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), r.alias("r")))
+            # a column agrees fully with itself unless it does not vary
+            cells.append(F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"),
+                                  F.when(F.min(a) < F.max(a), 1.0).alias("r")))
+            for j in range(i + 1, len(cols)):
+                cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.corr(a, cols[j]).alias("r")))
         upper = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
         both = F.array(F.struct("i", "j", "r"),
                        F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("r")))

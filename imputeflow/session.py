@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,3 +39,17 @@ def small_table(spark: SparkSession, rows: list, schema: str, row_bytes: int) ->
     if len(rows) * row_bytes <= BROADCAST_LIMIT_BYTES:
         return F.broadcast(df)
     return df
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="imputeflow-"), "imputeflow")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "imputeflow"))
+    _shipped.add(app)
