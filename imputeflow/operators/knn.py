@@ -251,19 +251,22 @@ class NeighbourJoin:
         """Neighbours found where routed rows ``(k, x, cell)`` meet their cells, in blocks."""
         spark = routed.sparkSession
         k, per_column = self.k, self.per_column
-        asked = routed.groupBy("cell").agg(F.count("*").alias("asked"))
-        held = spark.createDataFrame([(int(c), int(n)) for c, n in zip(cells.ids, cells.n)],
-                                     "cell long, held long")
-        # one row per cell, at most MAX_CELLS and the strata: small whatever the table
-        plan = asked.join(F.broadcast(held), "cell").select(
-            "cell", F.ceil(F.col("held") / self.block_rows).cast("int").alias("dn"),
-            F.ceil(F.col("asked") / self.query_rows).cast("int").alias("qn"))
-        q = (routed.join(F.broadcast(plan), "cell")
-             .withColumn("qc", F.pmod(F.xxhash64("k"), F.col("qn")).cast("int"))
+        if len(cells.ids) == 1:
+            dn, qn = -(-int(cells.n[0]) // self.block_rows), max(1, -(-routed.count() // self.query_rows))
+            sized = [t.withColumns({"dn": F.lit(dn), "qn": F.lit(qn)}) for t in (routed, placed)]
+        else:
+            asked = routed.groupBy("cell").agg(F.count("*").alias("asked"))
+            held = spark.createDataFrame([(int(c), int(n)) for c, n in zip(cells.ids, cells.n)],
+                                         "cell long, held long")
+            # one row per cell, at most MAX_CELLS and the strata: small whatever the table
+            plan = asked.join(F.broadcast(held), "cell").select(
+                "cell", F.ceil(F.col("held") / self.block_rows).cast("int").alias("dn"),
+                F.ceil(F.col("asked") / self.query_rows).cast("int").alias("qn"))
+            sized = [t.join(F.broadcast(plan), "cell") for t in (routed, placed)]
+        q = (sized[0].withColumn("qc", F.pmod(F.xxhash64("k"), F.col("qn")).cast("int"))
              .withColumn("dc", F.explode(F.sequence(F.lit(0), F.col("dn") - 1)))
              .select("cell", "dc", "qc", "k", "x"))
-        d = (placed.join(F.broadcast(plan), "cell")
-             .withColumn("dc", F.pmod(F.xxhash64("k"), F.col("dn")).cast("int"))
+        d = (sized[1].withColumn("dc", F.pmod(F.xxhash64("k"), F.col("dn")).cast("int"))
              .withColumn("qc", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)))
              .select("cell", "dc", "qc", F.col("k").alias("dk"), F.col("x").alias("dx"), F.col("t").alias("dt")))
         carry = self.carry
