@@ -356,15 +356,22 @@ def best_in_block(qx, qk, dx, dk, k, per_column) -> pd.DataFrame:
             continue
         sub = dist[np.ix_(rows, able)]
         kk = min(k, len(able))
-        # all donors up to the k-th distance, so that ties are settled by key below
-        edge = np.partition(sub, kk - 1, axis=1)[:, kk - 1]
-        for i, r in enumerate(rows):
-            near = np.flatnonzero((sub[i] <= edge[i]) & np.isfinite(sub[i]))
-            near = near[np.argsort(sub[i][near], kind="stable")][:kk]
-            out["k"] += [qk[r]] * len(near)
-            out["target"] += [t] * len(near)
-            out["dk"] += dk[able[near]].tolist()
-            out["dist"] += sub[i][near].tolist()
-            out["at"] += able[near].tolist()
-            out["val"] += dx[able[near], t].tolist() if t >= 0 else [np.nan] * len(near)
+        # donors are sorted by key, so that a stable sort by distance settles ties by key
+        best = np.sort(np.argpartition(sub, kk - 1, axis=1)[:, :kk], axis=1)
+        edge = np.take_along_axis(sub, best, 1).max(axis=1)
+        for i in np.flatnonzero((sub <= edge[:, None]).sum(axis=1) > kk):
+            # equal distances at the edge: the lowest keys of them belong in
+            near = np.flatnonzero(sub[i] <= edge[i])
+            best[i] = np.sort(near[np.argsort(sub[i][near], kind="stable")][:kk])
+        d = np.take_along_axis(sub, best, 1)
+        order = np.argsort(d, axis=1, kind="stable")
+        best, d = np.take_along_axis(best, order, 1), np.take_along_axis(d, order, 1)
+        row, col = np.nonzero(np.isfinite(d))
+        at = able[best[row, col]]
+        out["k"] += qk[rows[row]].tolist()
+        out["target"] += [t] * len(row)
+        out["dk"] += dk[at].tolist()
+        out["dist"] += d[row, col].tolist()
+        out["at"] += at.tolist()
+        out["val"] += dx[at, t].tolist() if t >= 0 else [np.nan] * len(row)
     return pd.DataFrame(out, dtype=None if out["k"] else object)
