@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -13,19 +14,89 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from imputeflow.llm.packing import pack
+    return pack(_table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2048, 0)
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from imputeflow.llm.recompress import remove_repeats
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, 35, kept_col="kept").select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from imputeflow.llm.token_count import count_tokens
     return count_tokens(_table(spark, sf_dir, "documents"), "piece_bpe_32k.model", 4096)
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from imputeflow.llm.jaccard import similarity_join
+    return similarity_join(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from imputeflow.llm.chat import render
+    return render(_table(spark, sf_dir, "conversations"))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from imputeflow.llm.nearest import nearest
+    return nearest(_table(spark, sf_dir, "embeddings"), 5, "id % 50 = 0")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from imputeflow.llm.quality import quality
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from imputeflow.llm.token_files import token_files
     return token_files(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 2)
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from imputeflow.llm.suffixes import repeated_passages
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from imputeflow.llm.rank_model import encode_decode
+    return encode_decode(_table(spark, sf_dir, "documents"), "byte_bpe_multi_50k.tiktoken")
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_token_counts": op3_token_counts, "op8_token_files": op8_token_files}
+    return {f.__name__: f for f in (
+        op1_best_fit_packing, op2_substring_dedup, op3_token_counts, op4_ngram_jaccard_join, op5_chat_formatting,
+        op6_nearest_neighbours, op7_quality_rules, op8_token_files, op9_suffix_array_dedup, op10_byte_bpe)}
+
+
+OP5_SQL = r"""
+with turns as (
+  select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations where conv_id is not null),
+numbered as (
+  select conv_id, role, text,
+         row_number() over (partition by conv_id order by turn nulls first, role, text) as turn_no from turns),
+rolled as (
+  select *, list(md5(turn_no || '|' || role || '|' || text)) over (partition by conv_id order by turn_no
+              rows between unbounded preceding and current row) as prefix,
+         count(*) over (partition by conv_id) as n_turns from numbered),
+keyed as (select *, md5(array_to_string(prefix, ',')) as h from rolled),
+whole as (select n_turns, h, min(conv_id) as conv_id, count(*) as n_equal from keyed
+          where turn_no = n_turns group by n_turns, h),
+kept as (select * from whole w where not exists (
+  select 1 from keyed k where k.turn_no < k.n_turns and k.turn_no = w.n_turns and k.h = w.h)),
+text as (select k.conv_id, k.n_turns, k.n_equal, r.turn_no, r.role,
+                '<|im_start|>' || r.role || chr(10) || r.text || '<|im_end|>' || chr(10) as rendered
+         from kept k join numbered r on r.conv_id = k.conv_id)
+select conv_id, n_turns::int as n_turns, n_equal, turn_no::int as turn_no, role, rendered,
+       coalesce(sum(length(rendered)) over (partition by conv_id order by turn_no
+         rows between unbounded preceding and 1 preceding), 0)::bigint as start
+from text
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_formatting": OP5_SQL}
