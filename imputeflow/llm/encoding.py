@@ -8,6 +8,8 @@ such a cut isn't certain is encoded whole by the library.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -17,7 +19,7 @@ import pyarrow.compute as pc
 
 from imputeflow.llm.shared import RecentValues, list_offsets, run_sums, take_runs, words_of
 
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 PUNCTUATION = ".,;:!?"
 SIMPLE = "İ"  # below it, lower case is a rule for each character alone
 
@@ -27,8 +29,18 @@ def vocabulary(name: str) -> str:
     return name if os.sep in name else public_tokenizers.path(name)
 
 
+def byte_alphabet() -> list[str]:
+    """The usual printable character for each byte: itself where printable in Latin-1, else one from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
+
+
+BYTE_LETTERS = str.maketrans({b: c for b, c in enumerate(byte_alphabet())})
+
+
 def _packed(ids) -> bytes:
-    return np.asarray(ids, np.uint32).tobytes()
+    return array("I", ids).tobytes()
 
 
 def split_end(word: str) -> tuple[str, ...]:
@@ -40,18 +52,36 @@ def split_end(word: str) -> tuple[str, ...]:
 
 
 class LibraryEncoder:
-    """ids by the tokenizers library, without added special tokens."""
+    """ids by the tokenizers library, without added special tokens.
+
+    ``plain`` is a pattern of pieces that the tokenizer's own splitting leaves whole and unchanged: they go to its model
+    directly, in the byte alphabet. A few words are encoded both ways first; if they differ, no piece counts as plain.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.is_plain = re.compile(plain).fullmatch
+        tried = [w for w in (" the", "the", " of", "street", "größe", " élève", " Über", "niño", "xqzjk") if self.is_plain(w)]
+        if [self._of_model(w) for w in tried] != self._whole(tried):
+            self.is_plain = lambda text: None
 
-    def pieces(self, texts: list[str]) -> list[bytes]:
+    def _of_model(self, text: str) -> bytes:
+        mapped = text.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return _packed([t.id for t in self.model.tokenize(mapped)])
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def pieces(self, texts: list[str]) -> list[bytes]:
+        plain = [self.is_plain(t) is not None for t in texts]
+        rest = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [self._of_model(t) if p else next(rest) for t, p in zip(texts, plain, strict=True)]
+
 
 class TextEncoder:
     """Flat ids and their number per text for an Arrow array of texts; null counts as empty."""
@@ -88,6 +118,8 @@ class TextEncoder:
 class WordEncoder(TextEncoder):
     """For a vocabulary that folds case and drops white space: units are the words between ASCII white space."""
 
+    plain = "[a-zß-öø-ÿ]+"
+
     @staticmethod
     def parts(word: str) -> tuple[str, ...]:
         if "<|" in word:
@@ -110,6 +142,8 @@ class SpacedEncoder(TextEncoder):
     line end between such characters. Texts with other white space go to the library whole.
     """
 
+    plain = " ?[A-Za-zÀ-ÖØ-öø-ÿ]+"
+
     @staticmethod
     def parts(word: str, lead: str) -> tuple[str, ...]:
         if "\n" not in word:
@@ -142,6 +176,7 @@ class SpacedEncoder(TextEncoder):
 
 
 @cache
-def encoder_for(name: str, kind: type, library: type = LibraryEncoder) -> TextEncoder:
+def encoder_for(name: str, kind: type, library: type | None = None) -> TextEncoder:
     """One encoder per Python worker, vocabulary and kind."""
-    return kind(library(vocabulary(name)))
+    path = vocabulary(name)
+    return kind(library(path) if library else LibraryEncoder(path, kind.plain))

@@ -26,19 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
-from imputeflow.llm.encoding import SpacedEncoder, encoder_for, vocabulary
+from imputeflow.llm.encoding import BYTE_LETTERS, SpacedEncoder, byte_alphabet, encoder_for, vocabulary
 from imputeflow.llm.shared import slices, take_runs
 
 UNKNOWN = "<unk>"
 
 
-def byte_alphabet() -> list[str]:
-    """A printable character for each byte."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in own]
-    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
-
-
 def read_ranks(path: str) -> list[bytes]:
     """Tokens of a rank file in the order of their ranks, which must be 0, 1, 2, ..."""
     with open(path, "rb") as f:
@@ -73,7 +66,6 @@ class RankCodec:
         tokens = read_ranks(path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(tokens))
         self.matches = regex.compile(pattern).findall
-        self.letters = str.maketrans({b: c for b, c in enumerate(byte_alphabet())})
         self.pool = np.frombuffer(b"".join(tokens), np.uint8)
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -81,7 +73,7 @@ class RankCodec:
     def pieces(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text; every match of the pattern is encoded by itself."""
         found = [self.matches(t) for t in texts]
-        mapped = [m.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        mapped = [m.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTE_LETTERS)
                   for ms in found for m in ms]
         ids = iter(self.model.encode(mapped, out_type=int, num_threads=1) if mapped else ())
         return [(np.array([i for _ in ms for i in next(ids)], np.int64) - 1).astype(np.uint32).tobytes()

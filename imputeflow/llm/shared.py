@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from imputeflow.session import ensure_checkpoint_dir
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 12 << 20
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
