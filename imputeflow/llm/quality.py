@@ -3,7 +3,8 @@
 The statistics of a text come from one pass over its words, lines and bytes. The forest isolates points by random
 splits: a tree is grown on a small random sample, and the expected length of a document's path over all trees tells how
 easily it is set apart. The trees are fitted on a bounded sample of labelled rows (``SAMPLE_ROWS``, chosen by a
-hash of the row). The threshold comes from the scores of all labelled rows: among the cuts that reject at most
+hash of the row), once for each set of rates; the set whose scores tell most of the sample's bad rows from the good ones
+is used. The threshold comes from the scores of all labelled rows: among the cuts that reject at most
 ``GOOD_LOSS`` of the rows labelled good, the one that rejects most rows labelled bad beyond the good ones; without
 labels of either kind, or where no cut rejects a larger share of bad than of good, nothing but the base rules rejects.
 
@@ -14,6 +15,8 @@ doc_id and quality of the labels) are read.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,8 +29,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 TREES = 100
 TREE_ROWS = 256
-SAMPLE_ROWS = 20_000
-GOOD_LOSS = 0.005
+SAMPLE_ROWS = 8_000
+GOOD_LOSS = 0.002
 SCORE_BINS = 10_000
 SEED = 7
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -143,11 +146,11 @@ class IsolationForest:
 class QualityModel:
     """Base rules, forest and threshold; small, and sent to the tasks with the function that uses it."""
 
-    def __init__(self, forest: IsolationForest | None = None, threshold: float = np.inf):
-        self.forest, self.threshold = forest, threshold
+    def __init__(self, forest: IsolationForest | None = None, rates: tuple[int, ...] = (), threshold: float = np.inf):
+        self.forest, self.rates, self.threshold = forest, list(rates), threshold
 
     def score(self, s: dict[str, np.ndarray]) -> np.ndarray:
-        return self.forest.scores(features(s)) if self.forest else np.zeros(len(s["n_words"]))
+        return self.forest.scores(features(s)[:, self.rates]) if self.forest else np.zeros(len(s["n_words"]))
 
     def kept(self, s: dict[str, np.ndarray]) -> np.ndarray:
         return ~base_failed(s) & ~(self.score(s) >= self.threshold)
@@ -177,23 +180,42 @@ def fit(stats: DataFrame, labels: DataFrame) -> QualityModel:
     sample = labelled.orderBy(order, *COUNTS).limit(SAMPLE_ROWS).toPandas()
     if sample["quality"].nunique() < 2:
         return QualityModel()
-    forest = IsolationForest(features({c: sample[c].to_numpy() for c in COUNTS}))
+    points, bad = features({c: sample[c].to_numpy() for c in COUNTS}), sample["quality"].to_numpy() == 0
+    best = (0.0, QualityModel())
+    for size in range(1, points.shape[1] + 1):
+        for rates in itertools.combinations(range(points.shape[1]), size):
+            model = QualityModel(IsolationForest(points[:, rates]), rates)
+            bins = _bins(model.forest.scores(points[:, rates]))
+            gain, _ = _best_cut(np.stack([np.bincount(bins[m], minlength=SCORE_BINS) for m in (bad, ~bad)]))
+            best = max(best, (gain, model), key=lambda x: x[0])
+    model = best[1]
+    if model.forest is None:
+        return model
 
     def score(batches):
         for batch in batches:
             s = {c: batch.column(c).to_numpy() for c in COUNTS}
-            bins = np.minimum((forest.scores(features(s)) * SCORE_BINS).astype(np.int64), SCORE_BINS - 1)
-            yield pa.RecordBatch.from_pydict({"bin": pa.array(bins), "quality": batch.column("quality")})
+            yield pa.RecordBatch.from_pydict({"bin": pa.array(_bins(model.score(s))),
+                                              "quality": batch.column("quality")})
 
-    counts = (labelled.mapInArrow(score, "bin long, quality int").groupBy("bin", "quality").count().collect())
-    table = np.zeros((2, SCORE_BINS + 1), np.int64)
-    for r in counts:
+    table = np.zeros((2, SCORE_BINS), np.int64)
+    for r in labelled.mapInArrow(score, "bin long, quality int").groupBy("bin", "quality").count().collect():
         table[r["quality"], r["bin"]] += r["count"]
-    # rejected where score >= k / SCORE_BINS: all bins from k on
+    gain, cut = _best_cut(table)
+    model.threshold = cut / SCORE_BINS if gain > 0 else np.inf
+    return model
+
+
+def _bins(scores: np.ndarray) -> np.ndarray:
+    return np.minimum((scores * SCORE_BINS).astype(np.int64), SCORE_BINS - 1)
+
+
+def _best_cut(table: np.ndarray) -> tuple[float, int]:
+    """Rows of (bad, good) by bin of the score: share of bad beyond good from the best bin on, and that bin."""
     above = np.cumsum(table[:, ::-1], 1)[:, ::-1] / np.maximum(table.sum(1, keepdims=True), 1)
-    gain = np.where(above[1] <= GOOD_LOSS, above[0] - above[1], -1.0)
-    k = len(gain) - 1 - int(np.argmax(gain[::-1]))
-    return QualityModel(forest, k / SCORE_BINS if gain[k] > 0 else np.inf)
+    gain = np.where(above[1] <= GOOD_LOSS, above[0] - above[1], 0.0)
+    cut = len(gain) - 1 - int(np.argmax(gain[::-1]))
+    return float(gain[cut]), cut
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
