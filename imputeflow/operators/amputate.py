@@ -20,14 +20,15 @@ from imputeflow.operators.stats import assemble, profile_values
 from imputeflow.session import cut_lineage
 from imputeflow.spec import TableSpec
 
+# Seed of the random mask, range of a probability after its correction.
 MCAR_SEED = 709
 PROB_RANGE = (0.01, 0.99)
 Masks = dict[str, Column]
 
 
 def apply_masks(df: DataFrame, masks: Masks) -> DataFrame:
-    """Blank the masked cells of all columns at once."""
-    return df.withColumns({c: F.when(~m, F.col(c)) for c, m in masks.items()})
+    """Blank the masked cells of all columns at once; where a mask can't tell (null), the cell stays."""
+    return df.withColumns({c: F.when(~F.coalesce(m, F.lit(False)), F.col(c)) for c, m in masks.items()})
 
 
 def _column_list(spec: TableSpec, columns) -> list[str]:
@@ -92,7 +93,7 @@ def mar_tail_masks(df: DataFrame, spec: TableSpec, cols, rates) -> dict[float, M
         for c in cols:
             hit = F.lit(False)
             for f in spec.others(c):
-                hit = hit | tails[f]
+                hit = hit | F.coalesce(tails[f], F.lit(False))
             out[r][c] = hit
     return out
 

@@ -71,10 +71,12 @@ def fuzzy_step(df: DataFrame, cols, centers, m: float = FUZZIFIER) -> DataFrame:
 
 def fit_fuzzy_cmeans(df: DataFrame, cols, key: str, k: int = 3, seed: int = 0,
                      rounds: int = FCM_ROUNDS, tol: float = FCM_TOL) -> CentroidClusterer:
-    """Fuzzy c-means from the k rows of lowest draw; stops when no centre moves by ``tol``."""
+    """Fuzzy c-means from the k distinct points of lowest draw; stops when no centre moves by ``tol``."""
     cols = list(cols)
-    start = (df.select(*cols, key, hash_uniform(seed, "fcm", key).alias("__u"))
-             .orderBy("__u", key).limit(k).collect())
+    drawn = df.select(*cols, F.struct(hash_uniform(seed, "fcm", key).alias("u"), F.col(key).alias("k")).alias("__d"))
+    start = drawn.groupBy(*cols).agg(F.min("__d").alias("__d")).orderBy("__d").limit(k).collect()
+    if len(start) < k:
+        raise ValueError(f"{k} clusters need as many distinct rows; the table has {len(start)}")
     centers = np.array([[r[c] for c in cols] for r in start])
     for _ in range(rounds):
         found = fuzzy_step(df, cols, centers.tolist()).orderBy("cluster").collect()
@@ -176,7 +178,9 @@ def silhouette_rows(df: DataFrame, cols, key: str, cluster: str = "cluster",
     b = F.array_min(F.array(*[F.when(F.col("c") == F.lit(c), F.lit(float("inf")))
                               .otherwise(F.col("s")[i] / F.lit(float(sizes[c]))) for i, c in enumerate(names)]))
     placed = sums.select(F.col("k").alias(key), a.alias("a"), b.alias("b"), own.alias("own"))
-    score = F.when(F.col("own") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    # a row at no distance from its own and from another cluster lies between them: 0
+    inner = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    score = F.when(F.col("own") == 1, 0.0).otherwise(inner)
     return placed.select(key, score.alias("silhouette"))
 
 

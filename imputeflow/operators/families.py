@@ -12,6 +12,7 @@ from imputeflow.operators.extratrees import ExtraTreesRegressor
 from imputeflow.operators.linear import LINEAR_FITS, moments
 from imputeflow.operators.stats import assemble
 
+# Fixed value: tree families are tried from this missing rate on.
 TREES_FROM_RATE = 0.20
 LINEAR = ("LR", "BR")
 TREES = ("RF", "ET", "GB")
@@ -19,7 +20,7 @@ TREES = ("RF", "ET", "GB")
 
 @dataclass(frozen=True)
 class TreeSizes:
-    """Work of the tree families; the defaults are the studied ones."""
+    """Work of the tree families. The defaults are the studied ones."""
 
     rf_trees: int = 300
     et_trees: int = 300

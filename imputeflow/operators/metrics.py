@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +10,7 @@ from imputeflow.session import small_table
 from imputeflow.spec import TableSpec
 
 ROWS_PER_BIN = 100_000
-MAX_SCORE_BINS = 16384
+MAX_SCORE_BINS = 512
 
 
 def paired_cells(truth: DataFrame, masked: DataFrame, imputed: DataFrame, spec: TableSpec) -> DataFrame:
@@ -38,11 +37,11 @@ def cell_rmse(truth, masked, imputed, spec: TableSpec) -> DataFrame:
 
 
 def pooled_rmse(truth, masked, imputed, spec: TableSpec) -> DataFrame:
-    """One RMSE over all missing cells of all columns."""
+    """One RMSE over all missing cells of all columns; null if there is none."""
     sq = paired_cells(truth, masked, imputed, spec)
     s = total([F.coalesce(F.sum(f), F.lit(0.0)) for f in spec.feats])
     n = total([F.count(f) for f in spec.feats])
-    return sq.agg(F.sqrt(s / n).alias("rmse"))
+    return sq.agg(F.sqrt(F.try_divide(s, n)).alias("rmse"))
 
 
 def table_rmse(truth: DataFrame, imputed: DataFrame, spec: TableSpec) -> DataFrame:
@@ -84,7 +83,8 @@ def ovo_auc(scored: DataFrame, label: str, prob: str, classes: list) -> DataFram
 
     Each ordered pair (a, b) ranks the rows of both classes by the score of a. Equal scores
     are merged first; the ranking is then a running count inside score bins of about equal
-    size plus the totals of the bins below, so no task sees a whole pair.
+    size plus the totals of the bins below, so no task sees a whole pair. A pair of which a class has no row
+    is left out of the mean.
     """
     pairs = [(i, j) for i in range(len(classes)) for j in range(len(classes)) if i != j]
     cells = F.array(*[
@@ -94,21 +94,18 @@ def ovo_auc(scored: DataFrame, label: str, prob: str, classes: list) -> DataFram
     points = (scored.select(F.inline(cells)).where((F.col("pos") + F.col("neg")) > 0)
               .groupBy("pair", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
     bins = min(MAX_SCORE_BINS, max(64, points.count() // ROWS_PER_BIN))
-    edges = points.approxQuantile("score", [i / bins for i in range(1, bins)], 0.5 / bins)
-    splits = [-float("inf"), *sorted(set(edges)), float("inf")]
-    if len(splits) > 2:
-        binned = Bucketizer(splits=splits, inputCol="score", outputCol="bin").transform(points)
-    else:
-        binned = points.withColumn("bin", F.lit(0.0))
+    # edges of each pair's own scores, so that pairs with scores close together are split too
+    edges = points.groupBy("pair").agg(F.percentile_approx("score", [i / bins for i in range(1, bins)]).alias("edges"))
+    place = F.size(F.filter("edges", lambda e: F.col("score") > e))
+    binned = points.join(edges, "pair").withColumn("bin", place).drop("edges")
     sums = binned.groupBy("pair", "bin").agg(F.sum("neg").alias("bin_neg"))
     below = Window.partitionBy("pair").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    # at most MAX_SCORE_BINS rows per pair of classes
     offsets = sums.select("pair", "bin", F.coalesce(F.sum("bin_neg").over(below), F.lit(0)).alias("before"))
     inside = Window.partitionBy("pair", "bin").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     placed = (binned.withColumn("lower", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
-              .join(F.broadcast(offsets), ["pair", "bin"]))
+              .join(offsets, ["pair", "bin"]))
     won = F.col("pos") * (F.col("before") + F.col("lower") + F.col("neg") / 2)
-    aucs = placed.groupBy("pair").agg((F.sum(won) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    aucs = placed.groupBy("pair").agg(F.try_divide(F.sum(won), F.sum("pos") * F.sum("neg")).alias("auc"))
     return aucs.agg(F.avg("auc").alias("auc"))
 
 

@@ -16,7 +16,7 @@ from imputeflow.operators.simple import Imputer, columns_by_missing, fill_values
 from imputeflow.session import cut_lineage
 from imputeflow.spec import TableSpec
 
-TOL = 1e-3
+TOL = 1e-3  # fixed value: a round that changes less, relative to the largest known value, is the last
 
 
 class ChainedImputer(Imputer):

@@ -30,11 +30,11 @@ class RankHit:
 
 
 def stack_columns(df: DataFrame, columns: list[Column], keep: Column | None = None) -> DataFrame:
-    """Long form ``(grp INT, val DOUBLE)`` of several columns; rows without a value drop out."""
+    """Long form ``(grp INT, val DOUBLE)`` of several columns; rows without a value drop out, NaN is none."""
     cells = F.array(*[F.struct(F.lit(i).alias("grp"), c.cast("double").alias("val"))
                       for i, c in enumerate(columns)])
     src = df if keep is None else df.where(keep)
-    return src.select(F.inline(cells)).where(F.col("val").isNotNull())
+    return src.select(F.inline(cells)).where(F.col("val").isNotNull() & ~F.isnan("val"))
 
 
 def order_statistics(long: DataFrame, ranks_of, bounds: tuple[float, float] | None = None):
@@ -48,10 +48,16 @@ def order_statistics(long: DataFrame, ranks_of, bounds: tuple[float, float] | No
     hits: dict[tuple[int, int], RankHit] = {}
 
     if bounds is None:
-        head = long.groupBy("grp").agg(F.count("*").alias("n"), F.min("val").alias("lo"),
-                                       F.max("val").alias("hi")).collect()
-        counts = {r.grp: r.n for r in head}
-        parts = [(r.grp, r.lo, r.hi, 0, r.n) for r in head]
+        # the infinities are intervals of their own, so that every open interval has a width
+        side = F.when(F.col("val") == -math.inf, -1).when(F.col("val") == math.inf, 1).otherwise(0)
+        head = long.groupBy("grp", side.alias("side")).agg(
+            F.count("*").alias("n"), F.min("val").alias("lo"), F.max("val").alias("hi")).collect()
+        counts = defaultdict(int)
+        parts = []
+        for r in sorted(head, key=lambda r: (r.grp, r.side)):
+            parts.append((r.grp, r.lo, r.hi, counts[r.grp], r.n))
+            counts[r.grp] += r.n
+        counts = dict(counts)
     else:
         lo, hi = bounds
         scaled = F.floor((F.col("val") - lo) / (hi - lo) * 4096).cast("int")
@@ -98,7 +104,8 @@ def order_statistics(long: DataFrame, ranks_of, bounds: tuple[float, float] | No
                     below += n
         else:
             bins = max(64, BIN_BUDGET // len(open_parts))
-            place = (F.col("val") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins
+            # halved first: the width of an interval may pass the largest double
+            place = (F.col("val") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins
             cells = (inside.groupBy("part", F.least(F.floor(place), F.lit(bins - 1)).alias("bin"))
                      .agg(F.count("*").alias("n"), F.min("val").alias("lo"),
                           F.max("val").alias("hi")).collect())
@@ -132,7 +139,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
                 continue
             spot = p * (n - 1)
             lo, hi = hits[g, math.floor(spot)].value, hits[g, math.ceil(spot)].value
-            result[name, p] = lo + (hi - lo) * (spot - math.floor(spot))
+            result[name, p] = lo if lo == hi else lo + (hi - lo) * (spot - math.floor(spot))
     return result
 
 

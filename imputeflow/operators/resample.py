@@ -7,6 +7,8 @@ their seed plus a number.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ SMOTE_NEIGHBOURS = 5
 BORDERLINE_NEIGHBOURS = 10
 ENN_NEIGHBOURS = 3
 ADASYN_NEIGHBOURS = 5
+SPLIT_SEED_ROWS = 1000  # new rows of one seed that stay in one task
 
 
 def class_sizes(df: DataFrame, spec: TableSpec) -> dict:
@@ -64,6 +67,30 @@ def edited_neighbours(df: DataFrame, spec: TableSpec, k: int = ENN_NEIGHBOURS) -
     return df.join(gone, spec.key, "left_anti")
 
 
+def _wanted(sizes: dict, k: int) -> dict:
+    """New rows each smaller class needs; a class needs two rows at least to have a segment between any."""
+    top = max(sizes.values(), default=0)
+    wanted = {c: top - n for c, n in sizes.items() if n < top}
+    for c in wanted:
+        if sizes[c] < 2:
+            raise ValueError(f"class {c!r} has {sizes[c]} row; new rows lie between two rows of a class")
+        if sizes[c] <= k:
+            warnings.warn(f"class {c!r} has {sizes[c]} rows, fewer than {k} neighbours each; all of them are used",
+                          stacklevel=3)
+    return wanted
+
+
+def _numbered(seeds: DataFrame, key: str) -> DataFrame:
+    """A row per seed and number ``__i`` up to ``__n``; a seed of very many new rows is spread over tasks first."""
+    most = seeds.agg(F.max("__n")).first()[0] or 0
+    if most <= SPLIT_SEED_ROWS:
+        return seeds.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    parts = seeds.withColumn("__from", F.explode(F.sequence(F.lit(1), F.col("__n"), F.lit(SPLIT_SEED_ROWS))))
+    return (parts.repartition(F.col(key), F.col("__from"))
+            .withColumn("__i", F.explode(F.sequence("__from", F.least("__n", F.col("__from") + SPLIT_SEED_ROWS - 1))))
+            .drop("__from"))
+
+
 def _synthesise(seeds: DataFrame, df: DataFrame, spec: TableSpec, k: int, seed: int) -> DataFrame:
     """New rows between a seed and one of its k nearest rows of the same class.
 
@@ -73,7 +100,7 @@ def _synthesise(seeds: DataFrame, df: DataFrame, spec: TableSpec, k: int, seed:
     near = NeighbourJoin(spec.key, spec.feats, k, group=spec.label, carry=True).join(seeds, df)
     mates = near.groupBy(F.col("k").alias(spec.key)).agg(
         F.array_sort(F.collect_list(F.struct("rank", "dx"))).alias("__near"))  # at most k entries
-    plan = seeds.join(mates, spec.key).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    plan = _numbered(seeds.join(mates, spec.key), spec.key)
     new_key = F.concat(F.col(spec.key), F.lit("#"), F.col("__i").cast("string"))
     plan = (plan.withColumn("__new", new_key)
             .withColumn("__pick", F.floor(hash_uniform(seed, "pick", "__new") * F.size("__near")).cast("int"))
@@ -114,9 +141,7 @@ def _spread_over(seeds: DataFrame, spec: TableSpec, wanted: dict, seed: int) ->
 def smote(df: DataFrame, spec: TableSpec, k: int = SMOTE_NEIGHBOURS, seed: int = 0) -> DataFrame:
     """Bring every class up to the size of the largest."""
     df = _text_keys(df, spec)
-    sizes = class_sizes(df, spec)
-    top = max(sizes.values())
-    wanted = {c: top - n for c, n in sizes.items() if n < top}
+    wanted = _wanted(class_sizes(df, spec), k)
     if not wanted:
         return df
     seeds = _spread_over(df.where(F.col(spec.label).isin(*wanted)), spec, wanted, seed)
@@ -135,9 +160,7 @@ def borderline_smote(df: DataFrame, spec: TableSpec, k: int = SMOTE_NEIGHBOURS,
                      m: int = BORDERLINE_NEIGHBOURS, seed: int = 2) -> DataFrame:
     """As SMOTE, seeded only by rows with at least half but not all neighbours foreign."""
     df = _text_keys(df, spec)
-    sizes = class_sizes(df, spec)
-    top = max(sizes.values())
-    wanted = {c: top - n for c, n in sizes.items() if n < top}
+    wanted = _wanted(class_sizes(df, spec), k)
     if not wanted:
         return df
     minority = df.where(F.col(spec.label).isin(*wanted))
@@ -151,9 +174,7 @@ def borderline_smote(df: DataFrame, spec: TableSpec, k: int = SMOTE_NEIGHBOURS,
 def adasyn(df: DataFrame, spec: TableSpec, k: int = ADASYN_NEIGHBOURS, seed: int = 3) -> DataFrame:
     """Rows with more foreign neighbours seed more new rows, in proportion."""
     df = _text_keys(df, spec)
-    sizes = class_sizes(df, spec)
-    top = max(sizes.values())
-    wanted = {c: top - n for c, n in sizes.items() if n < top}
+    wanted = _wanted(class_sizes(df, spec), k)
     if not wanted:
         return df
     minority = df.where(F.col(spec.label).isin(*wanted))
@@ -162,6 +183,9 @@ def adasyn(df: DataFrame, spec: TableSpec, k: int = ADASYN_NEIGHBOURS, seed: int
                         .join(minority, spec.key))
     # one row per class
     total = ratio.groupBy(spec.label).agg(F.sum("__r").alias("__sum"))
+    alone = sorted(str(r[spec.label]) for r in total.where("__sum = 0").collect())
+    if alone:
+        raise ValueError(f"no row of class {', '.join(alone)} has a neighbour of another class; use SMOTE there")
     goal = small_table(df.sparkSession, list(wanted.items()),
                        f"{spec.label} {df.schema[spec.label].dataType.simpleString()}, __want long", 32)
     shares = ratio.join(F.broadcast(total), spec.label).join(goal, spec.label)

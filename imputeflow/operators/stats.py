@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from imputeflow.operators.orderstat import exact_quantiles
 from imputeflow.session import small_table
 
-PAIRWISE_LIMIT = 24
+NO_SPREAD = 1e-13  # share of the whole spread below which a column counts as constant
 
 
 def column_profile(df: DataFrame, cols) -> DataFrame:
@@ -35,29 +36,51 @@ def quantile_table(df: DataFrame, cols, probs) -> DataFrame:
     return small_table(df.sparkSession, rows, "col string, p double, value double", 64)
 
 
+def _pair_moments(df: DataFrame, cols) -> tuple[np.ndarray, np.ndarray]:
+    """For every column pair, over the rows that know both: count, sums, square sums and product sum.
+
+    One scan of Arrow batches with a few matrix products each; columns are centred first. Only
+    these matrices are shuffled, one set per task.
+    """
+    head = df.agg(*[F.avg(c).alias(f"a{i}") for i, c in enumerate(cols)],
+                  *[(F.min(c) < F.max(c)).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+    mid = np.array([head[f"a{i}"] if head[f"a{i}"] is not None else 0.0 for i in range(len(cols))])
+    varies = np.array([bool(head[f"v{i}"]) for i in range(len(cols))])
+
+    def partial(batches):
+        sums = np.zeros((4, len(cols), len(cols)))
+        for pdf in batches:
+            x = pdf.to_numpy(float) - mid
+            known = ~np.isnan(x)
+            x[~known] = 0.0
+            k = known.astype(float)
+            sums += np.stack([k.T @ k, x.T @ k, (x * x).T @ k, x.T @ x])
+        yield pd.DataFrame({"m": [sums.ravel().tolist()]})
+
+    values = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"x{i}") for i, c in enumerate(cols)])
+    flat = (values.mapInPandas(partial, "m array<double>").select(F.posexplode("m").alias("at", "v"))
+            .groupBy("at").agg(F.sum("v").alias("v")).collect())
+    out = np.zeros(4 * len(cols) ** 2)
+    for r in flat:
+        out[r["at"]] = r["v"]
+    return out.reshape(4, len(cols), len(cols)), varies
+
+
 def correlation_long(df: DataFrame, cols) -> DataFrame:
-    """Pearson coefficients ``(i, j, r)`` of all ordered column pairs, pairs with a null skipped.
+    """Pearson coefficients ``(i, j, r)`` of all ordered column pairs.
 
-    Narrow tables use one aggregate over the pairs above the diagonal; wide ones a vector
-    aggregate, which needs complete rows.
+    A pair is worked out over the rows that know both columns, at any number of columns. A column
+    without spread among these rows gives null.
     """
     cols = list(cols)
-    if len(cols) <= PAIRWISE_LIMIT:
-        cells = []
-        for i, a in enumerate(cols):
-            # a column agrees fully with itself unless it does not vary
-            cells.append(F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"),
-                                  F.when(F.min(a) < F.max(a), 1.0).alias("r")))
-            for j in range(i + 1, len(cols)):
-                cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.corr(a, cols[j]).alias("r")))
-        upper = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
-        both = F.array(F.struct("i", "j", "r"),
-                       F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("r")))
-        mirrored = F.when(F.col("i") == F.col("j"), F.slice(both, 1, 1)).otherwise(both)
-        return upper.select(F.inline(mirrored))
-    vec = VectorAssembler(inputCols=cols, outputCol="v").transform(df.dropna(subset=cols))
-    matrix = Correlation.corr(vec.select("v"), "v").first()[0].toArray()
-    rows = [(i, j, float(matrix[i, j])) for i in range(len(cols)) for j in range(len(cols))]
+    (n, sums, squares, products), varies = _pair_moments(df, cols)
+    left = n * squares - sums ** 2  # n^2 variance of i over the rows that know j too
+    spread = n * np.diag(squares)[:, None]
+    fine = varies[:, None] & varies[None, :] & (left > NO_SPREAD * spread) & (left.T > NO_SPREAD * spread.T)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = np.clip((n * products - sums * sums.T) / np.sqrt(left * left.T), -1.0, 1.0)
+    np.fill_diagonal(r, 1.0)
+    rows = [(i, j, float(r[i, j]) if fine[i, j] else None) for i in range(len(cols)) for j in range(len(cols))]
     return small_table(df.sparkSession, rows, "i int, j int, r double", 24)
 
 

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from imputeflow.functions.hashing import hash_uniform_sql, key_numbers_sql
-from imputeflow.sources.tables import EMB8, WIDE8
+from imputeflow.sources.tables import EMB, WIDE8
 
 W = WIDE8.feats
-E = EMB8.feats
-W3 = ("l_quantity", "l_extendedprice", "o_totalprice")
+E = EMB.feats
 RATES = (0.1, 0.3, 0.5)
 D = "::DOUBLE"
 
@@ -21,7 +20,8 @@ def r(expr: str, digits: int = 4) -> str:
 
 
 def query(ctes: list[tuple[str, str]], final: str) -> str:
-    return "WITH " + ",\n".join(f"{n} AS ({b})" for n, b in ctes) + "\n" + final
+    """CTEs whose name ends in ! are worked out once."""
+    return "WITH " + ",\n".join(f"{n.rstrip('!')} AS {'MATERIALIZED ' * n.endswith('!')}({b})" for n, b in ctes) + "\n" + final
 
 
 RAW_WIDE = ("wide", "SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT), "
@@ -31,6 +31,7 @@ RAW_WIDE = ("wide", "SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey,
             "JOIN supplier ON l_suppkey = s_suppkey")
 RAW_EMB = ("emb", "SELECT vec_id AS row_id, " + cols("embedding[{i}+1]::DOUBLE AS {c}", E) + ", label::INTEGER AS label FROM embeddings")
 RAW_EMB3 = ("emb", "SELECT vec_id AS row_id, " + cols("embedding[{i}+1]::DOUBLE AS {c}", E) + ", least(label, 2)::INTEGER AS label FROM embeddings")
+TEXT_EMB = ("emb", RAW_EMB[1].replace("vec_id AS row_id", "vec_id::VARCHAR AS row_id"))
 TEXT_EMB3 = ("emb", RAW_EMB3[1].replace("vec_id AS row_id", "vec_id::VARCHAR AS row_id"))
 
 
@@ -111,28 +112,41 @@ def mnar_logistic(src: str, feats, rate: float, seed: int = 0) -> list[tuple[str
     return [sorted_lists(src, feats), med, std, raw, mean, both] + exact_count("rawm", feats, probs, rate, seed)
 
 
-def regress2(src: str, y: str, x1: str, x2: str, where: str, out: str) -> tuple[str, str]:
-    """Least squares on two predictors as one row (w1, w2, b)."""
-    inner = (f"SELECT covar_pop({x1}, {x1}) AS a, covar_pop({x2}, {x2}) AS c, covar_pop({x1}, {x2}) AS d, "
-             f"covar_pop({x1}, {y}) AS e, covar_pop({x2}, {y}) AS f, avg({x1}) AS mx1, avg({x2}) AS mx2, avg({y}) AS my "
-             f"FROM {src} WHERE {where}")
-    return (out, f"SELECT (e*c - f*d)/(a*c - d*d) AS w1, (f*a - e*d)/(a*c - d*d) AS w2, "
-            f"my - (e*c - f*d)/(a*c - d*d)*mx1 - (f*a - e*d)/(a*c - d*d)*mx2 AS b FROM ({inner})")
+def regress(src: str, y: str, xs, where: str, out: str) -> list[tuple[str, str]]:
+    """Least squares as one row (w0, w1, ..., b): elimination on the covariances, a step per CTE."""
+    n = len(xs)
+    names = [*xs, y]
+    sums = [f"covar_pop({names[i]}, {names[j]}) AS a{i}_{j}" for i in range(n) for j in range(i, n + 1)]
+    means = [f"avg({c}) AS m{i}" for i, c in enumerate(names)]
+    steps = [(f"{out}_0!", f"SELECT {', '.join(sums + means)} FROM {src} WHERE {where}")]
+    for k in range(n - 1):
+        gone = [f"a{i}_{j} - a{k}_{i} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" for i in range(k + 1, n) for j in range(i, n + 1)]
+        kept = [f"a{i}_{j}" for i in range(k + 1) for j in range(i, n + 1)]
+        steps.append((f"{out}_{k + 1}!", f"SELECT {', '.join(gone + kept)}, {cols('m{i}', names)} FROM {out}_{k}"))
+    back = []
+    for k in reversed(range(n)):
+        rest = "".join(f" - a{k}_{j} * w{j}" for j in range(k + 1, n))
+        back.append(f"(a{k}_{n}{rest}) / a{k}_{k} AS w{k}")
+    free = f"m{n}" + "".join(f" - w{i} * m{i}" for i in range(n))
+    return [*steps, (f"{out}!", f"SELECT {', '.join(back)}, {free} AS b FROM {out}_{n - 1}")]
 
 
-def mar_linear(src: str, rate: float, seed: int = 0) -> list[tuple[str, str]]:
+def fitted(y: str, feats, fit: str) -> str:
+    return f"{fit}.b + " + " + ".join(f"{fit}.w{i} * {c}" for i, c in enumerate(c for c in feats if c != y))
+
+
+def mar_linear(src: str, rate: float, seed: int = 0, feats=W) -> list[tuple[str, str]]:
     out, names = [], []
-    for i, y in enumerate(W3):
-        x1, x2 = [c for c in W3 if c != y]
-        out.append(regress2(src, y, x1, x2, "TRUE", f"g{i}"))
-        names.append(f"g{i}.b + g{i}.w1 * {x1} + g{i}.w2 * {x2} AS s{i}")
-    out.append(("sco", f"SELECT t.*, {', '.join(names)} FROM {src} t, g0, g1, g2"))
-    out.append(("ends", "SELECT " + cols("min(s{i}) AS n{i}, max(s{i}) AS x{i}", W3) + " FROM sco"))
-    out.append(("raw", "SELECT sco.*, " + cols("(s{i} - n{i}) / ((x{i} - n{i}) + 1e-8::DOUBLE) AS p{i}", W3) + " FROM sco, ends"))
-    out.append(("pm", "SELECT " + cols("avg(p{i}) AS a{i}", W3) + " FROM raw"))
+    for i, y in enumerate(feats):
+        out += regress(src, y, [c for c in feats if c != y], "TRUE", f"g{i}")
+        names.append(f"{fitted(y, feats, f'g{i}')} AS s{i}")
+    out.append(("sco!", f"SELECT t.*, {', '.join(names)} FROM {src} t, {cols('g{i}', feats)}"))
+    out.append(("ends", "SELECT " + cols("min(s{i}) AS n{i}, max(s{i}) AS x{i}", feats) + " FROM sco"))
+    out.append(("raw", "SELECT sco.*, " + cols("(s{i} - n{i}) / ((x{i} - n{i}) + 1e-8::DOUBLE) AS p{i}", feats) + " FROM sco, ends"))
+    out.append(("pm", "SELECT " + cols("avg(p{i}) AS a{i}", feats) + " FROM raw"))
     out.append(("rawm", "SELECT raw.*, pm.* FROM raw, pm"))
-    probs = {c: clip(f"p{i} * {rate}{D} / (a{i} + 1e-8::DOUBLE)") for i, c in enumerate(W3)}
-    return out + exact_count("rawm", W3, probs, rate, seed)
+    probs = {c: clip(f"p{i} * {rate}{D} / (a{i} + 1e-8::DOUBLE)") for i, c in enumerate(feats)}
+    return out + exact_count("rawm", feats, probs, rate, seed)
 
 
 def table_of(src: str, feats, digits: int = 4, label: bool = True) -> str:
@@ -248,33 +262,35 @@ def assigned(src: str, feats, out: str = "asg") -> list[tuple[str, str]]:
             (out, f"SELECT * EXCLUDE (rn, d) FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, cluster) AS rn FROM {out}_d) WHERE rn = 1")]
 
 
-def chain3(rounds: int, src: str = "m") -> list[tuple[str, str]]:
-    """Chained least squares on three columns, left to right."""
-    out = fill(src, W3, "avg({c})", "st0")
-    out[-1] = ("st0", "SELECT t.row_id, t.label, " + cols("coalesce({c}, v{i}) AS {c}, ({c} IS NULL) AS g{i}", W3) + f" FROM {src} t, st0_f")
+def chain(rounds: int, src: str = "m", feats=W) -> list[tuple[str, str]]:
+    """Chained least squares, left to right."""
+    out = fill(src, feats, "avg({c})", "st0")
+    out[-1] = ("st0!", "SELECT t.row_id, t.label, " + cols("coalesce({c}, v{i}) AS {c}, ({c} IS NULL) AS g{i}", feats) + f" FROM {src} t, st0_f")
     at = 0
     for _ in range(rounds):
-        for i, y in enumerate(W3):
-            x1, x2 = [c for c in W3 if c != y]
-            out.append(regress2(f"st{at}", y, x1, x2, f"NOT g{i}", f"rg{at}"))
-            keep = ", ".join(f"CASE WHEN g{i} THEN b + w1 * {x1} + w2 * {x2} ELSE {c} END AS {c}" if c == y else c for c in W3)
-            out.append((f"st{at + 1}", f"SELECT row_id, label, {keep}, g0, g1, g2 FROM st{at}, rg{at}"))
+        for i, y in enumerate(feats):
+            out += regress(f"st{at}", y, [c for c in feats if c != y], f"NOT g{i}", f"rg{at}")
+            out.append(refit(at, i, f"rg{at}", feats))
             at += 1
     out.append(("imp", f"SELECT * FROM st{at}"))
     return out
 
 
-def column_wise3(src: str = "m") -> list[tuple[str, str]]:
+def refit(at: int, i: int, fit: str, feats) -> tuple[str, str]:
+    """The next state: gaps of column i from its regression."""
+    y = feats[i]
+    keep = ", ".join(f"CASE WHEN g{i} THEN {fitted(y, feats, fit)} ELSE {c} END AS {c}" if c == y else c for c in feats)
+    return (f"st{at + 1}!", f"SELECT row_id, label, {keep}, {cols('g{i}', feats)} FROM st{at}, {fit}")
+
+
+def column_wise(src: str = "m", feats=W) -> list[tuple[str, str]]:
     """One regression per column on the mean-filled others, then refined left to right."""
-    out = chain3(0, src)[:-1]
-    for i, y in enumerate(W3):
-        x1, x2 = [c for c in W3 if c != y]
-        out.append(regress2("st0", y, x1, x2, f"NOT g{i}", f"rg{i}"))
-    for i, y in enumerate(W3):
-        x1, x2 = [c for c in W3 if c != y]
-        keep = ", ".join(f"CASE WHEN g{i} THEN b + w1 * {x1} + w2 * {x2} ELSE {c} END AS {c}" if c == y else c for c in W3)
-        out.append((f"st{i + 1}", f"SELECT row_id, label, {keep}, g0, g1, g2 FROM st{i}, rg{i}"))
-    return out + [("imp", f"SELECT * FROM st{len(W3)}")]
+    out = chain(0, src, feats)[:-1]
+    for i, y in enumerate(feats):
+        out += regress("st0", y, [c for c in feats if c != y], f"NOT g{i}", f"rg{i}")
+    for i in range(len(feats)):
+        out.append(refit(i, i, f"rg{i}", feats))
+    return out + [("imp", f"SELECT * FROM st{len(feats)}")]
 
 
 def long_profile(src: str, feats) -> str:
@@ -306,6 +322,17 @@ def class_folds(src: str, k: int, seed: int) -> list[tuple[str, str]]:
             ("folds", f"SELECT row_id, label, ntile({k}) OVER (PARTITION BY label ORDER BY {hash_uniform_sql(seed, 'fold')}, row_id)::INTEGER AS fold FROM fh")]
 
 
+def leak_free() -> str:
+    """Scaler and class centres of the training rows, applied to fold 1."""
+    d = " + ".join(f"(t.{c} - k{i}) * (t.{c} - k{i})" for i, c in enumerate(W))
+    return query([RAW_WIDE, *class_folds("wide", 5, 7), ("parts", "SELECT wide.*, fold FROM wide JOIN folds USING (row_id)"),
+                  ("sc", "SELECT " + cols("avg({c}) AS m{i}, stddev_pop({c}) AS s{i}", W) + " FROM parts WHERE fold <> 1"),
+                  ("z", "SELECT row_id, label, fold, " + cols("({c} - m{i}) / s{i} AS {c}", W) + " FROM parts, sc"),
+                  ("train", "SELECT * FROM z WHERE fold <> 1"), centers("train", W),
+                  ("near", f"SELECT t.*, cluster, row_number() OVER (PARTITION BY row_id ORDER BY {d}, cluster) AS rn FROM z t, cen WHERE fold = 1")],
+                 table_of("near", W).replace("SELECT row_id", "SELECT cluster, row_id") + " WHERE rn = 1")
+
+
 def centroid_scores() -> list[tuple[str, str]]:
     """Score of each class by closeness to its centroid, rounded so that ties occur."""
     d = " + ".join(f"(t.{c} - k{i}) * (t.{c} - k{i})" for i, c in enumerate(E))
@@ -354,16 +381,16 @@ def oracle_sql() -> dict[str, str]:
     q["mnar_logistic"] = query([RAW_WIDE, *mnar_logistic("wide", W, 0.2)], raw_out)
     ev = ("ev", "SELECT event_id AS row_id, value::DOUBLE AS value, event_type AS label FROM events")
     q["mnar_logistic_events"] = query([ev, *mnar_logistic("ev", ("value",), 0.2)], "SELECT row_id, label, value FROM m")
-    q["mar_linear"] = query([RAW_WIDE, *scaled("wide", W3), *mar_linear("z", 0.3)], table_of("m", W3))
-    grid, parts = [RAW_EMB], []
+    q["mar_linear"] = query([*zw[:-1], ("z!", zw[-1][1]), *mar_linear("z", 0.3)], table_of("m", W))
+    grid, parts = [RAW_WIDE], []
     for k, rate in enumerate((0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)):
         for mech, make in (("mcar", mcar), ("mnar", mnar_tail), ("mar", mar_tail)):
             name = f"{mech}_{k}"
-            part = make("emb", E, rate, name)
+            part = make("wide", W, rate, name)
             if mech == "mar":
                 part = [(n + f"_{name}" if n in ("srt", "q") else n, b.replace("FROM srt", f"FROM srt_{name}").replace(", q", f", q_{name}")) for n, b in part]
             grid += part
-            parts += [f"SELECT '{mech}' AS mech, {rate}{D} AS rate, '{c}' AS col, count(*) - count({c}) AS n_miss FROM {name}" for c in E]
+            parts += [f"SELECT '{mech}' AS mech, {rate}{D} AS rate, '{c}' AS col, count(*) - count({c}) AS n_miss FROM {name}" for c in W]
     q["scenario_grid"] = query(grid, " UNION ALL ".join(parts))
 
     q["missing_rate"] = query([RAW_WIDE, *mar_tail("wide", W, 0.2)], missing_long("m", W))
@@ -387,7 +414,14 @@ def oracle_sql() -> dict[str, str]:
     three = "FROM z t JOIN m USING (row_id) JOIN imp i USING (row_id)"
     q["rmse_pooled"] = query(mean_imp, f"SELECT {r(f'sqrt(({sums}) / ({counts}))', 6)} AS rmse {three}")
     whole = " + ".join(f"sqrt(avg(power(t.{c} - i.{c}, 2)))" for c in W)
-    q["rmse_table"] = query(mean_imp, f"SELECT {r(f'({whole}) / {len(W)}', 6)} AS rmse FROM z t JOIN imp i USING (row_id)")
+    number = "dense_rank() OVER (ORDER BY label) - 1"
+    nine = f"{whole} + sqrt(avg(power(t.y - i.y, 2)))"
+    q["rmse_table"] = query([*mean_imp, ("zy", f"SELECT *, {number} AS y FROM z"), ("iy", f"SELECT *, {number} AS y FROM imp")],
+                            f"SELECT {r(f'({nine}) / {len(W) + 1}', 6)} AS rmse FROM zy t JOIN iy i USING (row_id)")
+    q["report_write"] = q["rmse_cells"]
+    q["csv_round_trip"] = query([TEXT_EMB], table_of("emb", E, 6))
+    q["keyless_ingest"] = query([RAW_WIDE], "SELECT label, count(*) AS n, count(*) AS n_keys FROM wide GROUP BY label")
+    q["leak_free_scale"] = leak_free()
     sc = score_ctes()
     q["union_scores"] = query(sc, f"SELECT mech, rate, imp, col, {r('rmse', 6)} AS rmse FROM scores")
     q["rmse_std"] = query(sc, f"SELECT mech, rate, imp, col, {r('rmse_std', 6)} AS rmse_std FROM scores")
@@ -413,10 +447,9 @@ def oracle_sql() -> dict[str, str]:
                                f"SELECT rate, col_idx, {r('col_mean', 6)} AS col_mean, {r('col_std', 6)} AS col_std, {r('col_range', 6)} AS col_range, "
                                f"{r('max_corr', 6)} AS max_corr, {r('mean_corr', 6)} AS mean_corr, imp AS best_imp FROM bc JOIN st ON st.col_idx = bc.col JOIN oc USING (col_idx)")
 
-    z3 = [RAW_WIDE, *scaled("wide", W3), *mcar("z", W3, 0.2)]
-    q["lr_impute"] = query([*z3, *column_wise3()], table_of("imp", W3))
-    q["mice_lr_1round"] = query([*z3, *chain3(1)], table_of("imp", W3))
-    q["mice_lr_rounds"] = query([*z3, *chain3(3)], table_of("imp", W3))
+    q["lr_impute"] = query([*m_z, *column_wise()], table_of("imp", W))
+    q["mice_lr_1round"] = query([*m_z, *chain(1)], table_of("imp", W))
+    q["mice_lr_rounds"] = query([*m_z, *chain(3)], table_of("imp", W))
 
     q["knn_join"] = query([RAW_EMB, neighbours("emb", "emb", 3, "nn")], f"SELECT row_id, dk, rank::INTEGER AS rank, {r('dist', 6)} AS dist FROM nn")
     q["knn_join_in_class"] = query([RAW_EMB3, neighbours("emb", "emb", 5, "nn", True)], f"SELECT row_id, dk, rank::INTEGER AS rank, {r('dist', 6)} AS dist FROM nn")

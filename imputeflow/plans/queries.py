@@ -25,9 +25,9 @@ from imputeflow.operators.split import read_fold, stratified_folds, write_folds
 from imputeflow.plans import classic, compare, policy
 from imputeflow.session import ensure_checkpoint_dir, small_table
 from imputeflow.spec import TableSpec
-from imputeflow.sources.tables import EMB8, EVENTS, WIDE8, append_metrics, emb8, events, wide8
+from imputeflow.sources.tables import (
+    EMB, EVENTS, WIDE8, append_metrics, emb, events, read_features_csv, wide8, with_row_key, write_report)
 
-W3 = WIDE8.with_feats(("l_quantity", "l_extendedprice", "o_totalprice"))
 RATES = (0.1, 0.3, 0.5)
 SMALL_TREES = TreeSizes(rf_trees=8, et_trees=8, gb_rounds=5, max_depth=4)
 _shared: dict = {}
@@ -50,20 +50,11 @@ def _wide_z(spark, sf):
 
 
 def _emb(spark, sf):
-    return _once("emb", spark, sf, lambda: emb8(spark, sf).persist())
+    return _once("emb", spark, sf, lambda: emb(spark, sf).persist())
 
 
 def _emb3(spark, sf):
-    return _once("emb3", spark, sf, lambda: emb8(spark, sf, merge_from=2).persist())
-
-
-def _emb_z(spark, sf):
-    return _once("emb_z", spark, sf, lambda: stats.z_score(_emb(spark, sf), EMB8.feats).persist())
-
-
-def _emb_gaps(spark, sf):
-    return _once("emb_gaps", spark, sf,
-                 lambda: amp.create_mcar(_emb_z(spark, sf), EMB8, list(EMB8.feats), 0.3).persist())
+    return _once("emb3", spark, sf, lambda: emb(spark, sf, merge_from=2).persist())
 
 
 def _wide_gaps(spark, sf):
@@ -156,19 +147,19 @@ def mcar_check(spark, sf):
 
 
 def mar_linear(spark, sf):
-    z = stats.z_score(_wide(spark, sf).select(*W3.columns), W3.feats)
-    return _rounded(amp.create_mar(z, W3, list(W3.feats), 0.3, model="LR"), W3)
+    z = _wide_z(spark, sf)
+    return _rounded(amp.create_mar(z, WIDE8, list(WIDE8.feats), 0.3, model="LR"), WIDE8)
 
 
 def mar_forest(spark, sf):
-    z = _emb_z(spark, sf)
-    return _rounded(amp.create_mar(z, EMB8, list(EMB8.feats), 0.3, num_trees=20), EMB8)
+    z = _wide_z(spark, sf)
+    return _rounded(amp.create_mar(z, WIDE8, list(WIDE8.feats), 0.3), WIDE8)
 
 
 def scenario_grid(spark, sf):
     out = None
-    for (mech, rate), t in amp.scenario_tables(_emb(spark, sf), EMB8).items():
-        counts = stats.missing_counts(t, EMB8.feats).select(
+    for (mech, rate), t in amp.scenario_tables(_wide(spark, sf), WIDE8).items():
+        counts = stats.missing_counts(t, WIDE8.feats).select(
             F.lit(mech).alias("mech"), F.lit(rate).alias("rate"), "col", "n_miss")
         out = counts if out is None else out.unionByName(counts)
     return out
@@ -206,8 +197,38 @@ def rmse_cells(spark, sf):
 
 
 def rmse_table(spark, sf):
+    """The label counts as a ninth column, as its class number."""
     truth, _, imputed = _tail_mean(spark, sf)
-    return _round_cols(metrics.table_rmse(truth, imputed, TableSpec("row_id", WIDE8.feats)), ["rmse"])
+    classes = classify.class_list(truth, "label")
+    numbered = [classify.label_index(t, "label", classes, "y") for t in (truth, imputed)]
+    return _round_cols(metrics.table_rmse(*numbered, TableSpec("row_id", WIDE8.feats, "y")), ["rmse"])
+
+
+def report_write(spark, sf):
+    path = f"{ensure_checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    write_report(rmse_cells(spark, sf), path)
+    return spark.read.option("header", True).schema("col int, rmse double").csv(path)
+
+
+def csv_round_trip(spark, sf):
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    _emb(spark, sf).select(*EMB.columns).write.option("header", True).csv(path)
+    return _rounded(read_features_csv(spark, path, EMB), EMB, 6)
+
+
+def keyless_ingest(spark, sf):
+    keyed = with_row_key(_wide(spark, sf).drop("row_id"))
+    return keyed.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("n_keys"))
+
+
+def leak_free_scale(spark, sf):
+    """Scaler and cluster centres from the training rows alone, applied to the rows held out."""
+    parts = stratified_folds(_wide(spark, sf), WIDE8, 5, 7)
+    train, test = parts.where(F.col("fold") != 1), parts.where(F.col("fold") == 1)
+    scaler = stats.ZScaler(WIDE8.feats).fit(train)
+    centers = _class_centers(scaler.transform(train), WIDE8)
+    return _rounded(centers.assign(scaler.transform(test)), WIDE8).join(
+        centers.assign(scaler.transform(test)).select("row_id", "cluster"), "row_id")
 
 
 def _scores(spark, sf):
@@ -260,19 +281,15 @@ def meta_features(spark, sf):
 
 # ---- chained and adaptive imputers ---------------------------------------------------
 
-def _gaps3(spark, sf):
-    z = stats.z_score(_wide(spark, sf).select(*W3.columns), W3.feats)
-    return amp.create_mcar(z, W3, list(W3.feats), 0.2)
-
-
-def _chain3(rounds):
+def _chain(rounds):
     def run(spark, sf):
-        return _rounded(ChainedImputer(W3, "LR", rounds, tol=None, order="roman").fit_transform(_gaps3(spark, sf)), W3)
+        chained = ChainedImputer(WIDE8, "LR", rounds, tol=None, order="roman")
+        return _rounded(chained.fit_transform(_wide_gaps(spark, sf)), WIDE8)
     return run
 
 
 def lr_impute(spark, sf):
-    return _rounded(ColumnAdaptiveImputer(W3, {}).fit_transform(_gaps3(spark, sf)), W3)
+    return _rounded(ColumnAdaptiveImputer(WIDE8, {}).fit_transform(_wide_gaps(spark, sf)), WIDE8)
 
 
 def _on_wide(make):
@@ -281,42 +298,36 @@ def _on_wide(make):
     return run
 
 
-def _on_emb(make):
-    def run(spark, sf):
-        return make(spark, sf).fit_transform(_emb_gaps(spark, sf)).drop("label")
-    return run
-
-
-def _emb_scores(spark, sf):
+def _family_scores(spark, sf):
     def make():
-        z = _emb_z(spark, sf)
-        scenarios = {k: t.persist() for k, t in amp.scenario_tables(z, EMB8, (0.1, 0.3), ("mcar", "mnar")).items()}
-        return policy.score_families(z, scenarios, EMB8, only=("LR", "BR")).persist(), scenarios
-    return _once("emb_scores", spark, sf, make)
+        z = _wide_z(spark, sf)
+        scenarios = {k: t.persist() for k, t in amp.scenario_tables(z, WIDE8, (0.1, 0.3), ("mcar", "mnar")).items()}
+        return policy.score_families(z, scenarios, WIDE8, only=("LR", "BR")).persist(), scenarios
+    return _once("family_scores", spark, sf, make)
 
 
-def _emb_policy(spark, sf):
-    scores, _ = _emb_scores(spark, sf)
-    return _once("emb_policy", spark, sf, lambda: policy.policy_values(
+def _policy(spark, sf):
+    scores, _ = _family_scores(spark, sf)
+    return _once("policy", spark, sf, lambda: policy.policy_values(
         policy.best_by_rate(scores), policy.best_by_rate_col(scores)))
 
 
 def _selector(spark, sf):
     return _once("selector", spark, sf, lambda: policy.MetaSelector(MISSING_RATES, num_trees=20).fit(
-        _emb_z(spark, sf), EMB8, policy.best_by_rate_col(_emb_scores(spark, sf)[0])))
+        _wide_z(spark, sf), WIDE8, policy.best_by_rate_col(_family_scores(spark, sf)[0])))
 
 
 def _kmeans(spark, sf):
-    return _once("kmeans", spark, sf, lambda: cluster.fit_kmeans(_emb_z(spark, sf), list(EMB8.feats)))
+    return _once("kmeans", spark, sf, lambda: cluster.fit_kmeans(_wide_z(spark, sf), list(WIDE8.feats)))
 
 
 def _fuzzy(spark, sf):
     return _once("fuzzy", spark, sf, lambda: cluster.fit_fuzzy_cmeans(
-        _emb_z(spark, sf), EMB8.feats, EMB8.key))
+        _wide_z(spark, sf), WIDE8.feats, WIDE8.key))
 
 
 def meta_select(spark, sf):
-    table = policy.meta_table(_emb_z(spark, sf), EMB8, policy.best_by_rate_col(_emb_scores(spark, sf)[0]))
+    table = policy.meta_table(_wide_z(spark, sf), WIDE8, policy.best_by_rate_col(_family_scores(spark, sf)[0]))
     return _selector(spark, sf).predict_frame(table).select("rate", "col_idx", "best_imp", "imp")
 
 
@@ -327,22 +338,22 @@ def meta_cv(spark, sf):
 
 def _augmented(how, family="LR"):
     def run(spark, sf):
-        return classic.impute_with_clusters(_emb_gaps(spark, sf), _emb_z(spark, sf), EMB8, family, how,
+        return classic.impute_with_clusters(_wide_gaps(spark, sf), _wide_z(spark, sf), WIDE8, family, how,
                                             _fuzzy(spark, sf), SMALL_TREES).drop("label")
     return run
 
 
 def classic_scores(spark, sf):
-    gaps = {("mcar", 0.3): _emb_gaps(spark, sf)}
-    chosen = {k: v for k, v in classic.classic_imputers(EMB8, SMALL_TREES, 1).items() if k not in ("GB_MICE", "RF_MICE")}
-    return classic.score_tables(_emb_z(spark, sf), gaps, EMB8, chosen)
+    gaps = {("mcar", 0.3): _wide_gaps(spark, sf)}
+    chosen = {k: v for k, v in classic.classic_imputers(WIDE8, SMALL_TREES, 1).items() if k not in ("GB_MICE", "RF_MICE")}
+    return classic.score_tables(_wide_z(spark, sf), gaps, WIDE8, chosen)
 
 
 def _comparison(spark, sf):
     def make():
-        scores, scenarios = _emb_scores(spark, sf)
+        scores, scenarios = _family_scores(spark, sf)
         one = {k: t for k, t in scenarios.items() if k[1] == 0.3}
-        return compare.compare_methods(_emb_z(spark, sf), one, EMB8, scores, _kmeans(spark, sf),
+        return compare.compare_methods(_wide_z(spark, sf), one, WIDE8, scores, _kmeans(spark, sf),
                                        sizes=SMALL_TREES, selector_trees=20, baseline_rounds=1)
     return _once("comparison", spark, sf, make)
 
@@ -359,13 +370,13 @@ def _neighbours(spec, base, k, group=None):
 
 def knn_impute(spark, sf):
     df = _emb(spark, sf)
-    masked = amp.create_mcar(df, EMB8, list(EMB8.feats), 0.3)
-    return _rounded(KnnImputer(EMB8, 3, ["label"]).fit_transform(masked), EMB8)
+    masked = amp.create_mcar(df, EMB, list(EMB.feats), 0.3)
+    return _rounded(KnnImputer(EMB, 3, ["label"]).fit_transform(masked), EMB)
 
 
 def _resampled(name):
     def run(spark, sf):
-        return _rounded(resample.RESAMPLERS[name](_emb3(spark, sf), EMB8), EMB8, 6)
+        return _rounded(resample.RESAMPLERS[name](_emb3(spark, sf), EMB), EMB, 6)
     return run
 
 
@@ -373,7 +384,7 @@ def _resampled(name):
 
 def _assigned(spark, sf):
     df = _emb3(spark, sf)
-    return _class_centers(df, EMB8).assign(df)
+    return _class_centers(df, EMB).assign(df)
 
 
 def kmeans_assign(spark, sf):
@@ -383,28 +394,28 @@ def kmeans_assign(spark, sf):
 
 def fcm_step(spark, sf):
     df = _emb3(spark, sf)
-    found = cluster.fuzzy_step(df, EMB8.feats, _class_centers(df, EMB8).centers)
-    return _round_cols(found, ["weight", *EMB8.feats])
+    found = cluster.fuzzy_step(df, EMB.feats, _class_centers(df, EMB).centers)
+    return _round_cols(found, ["weight", *EMB.feats])
 
 
 def mcmv(spark, sf):
-    return _round_cols(cluster.centroid_norms(_assigned(spark, sf), EMB8.feats), ["mcmv"])
+    return _round_cols(cluster.centroid_norms(_assigned(spark, sf), EMB.feats), ["mcmv"])
 
 
 def _feature(how, names):
     def run(spark, sf):
         df = _emb3(spark, sf)
-        side, _ = cluster.cluster_features(df, EMB8.feats, "row_id", _class_centers(df, EMB8), how)
+        side, _ = cluster.cluster_features(df, EMB.feats, "row_id", _class_centers(df, EMB), how)
         return _round_cols(cluster.attach(df.select("row_id"), side, "row_id"), names)
     return run
 
 
 def silhouette(spark, sf):
-    return _round_cols(cluster.silhouette(_assigned(spark, sf), EMB8.feats, "row_id"), ["silhouette"])
+    return _round_cols(cluster.silhouette(_assigned(spark, sf), EMB.feats, "row_id"), ["silhouette"])
 
 
 def silhouette_squared(spark, sf):
-    value = cluster.silhouette_squared(_assigned(spark, sf), EMB8.feats)
+    value = cluster.silhouette_squared(_assigned(spark, sf), EMB.feats)
     return small_table(spark, [(round(value, 6),)], "silhouette double", 8)
 
 
@@ -413,8 +424,8 @@ def silhouette_squared(spark, sf):
 def _centroid_scores(spark, sf) -> DataFrame:
     """Closeness to each class mean as a score, rounded so that ties occur."""
     df = _emb3(spark, sf)
-    closeness = [F.lit(1.0) / (F.lit(1.0) + cluster.squared_distance(EMB8.feats, c))
-                 for c in _class_centers(df, EMB8).centers]
+    closeness = [F.lit(1.0) / (F.lit(1.0) + cluster.squared_distance(EMB.feats, c))
+                 for c in _class_centers(df, EMB).centers]
     named = df.select("row_id", "label", *[c.alias(f"s{i}") for i, c in enumerate(closeness)])
     sums = total([F.col(f"s{i}") for i in range(len(closeness))])
     scored = named.withColumn("score", F.array(*[F.round(F.col(f"s{i}") / sums, 3) for i in range(len(closeness))]))
@@ -427,7 +438,7 @@ def ovo_auc(spark, sf):
 
 
 def cv_summary(spark, sf):
-    parts = stratified_folds(_centroid_scores(spark, sf), EMB8.with_feats(()), 5, 0)
+    parts = stratified_folds(_centroid_scores(spark, sf), EMB.with_feats(()), 5, 0)
     hit = (F.col("label") == F.col("prediction")).cast("double")
     per_fold = parts.groupBy("fold").agg(F.avg(hit).alias("score"))
     return _round_cols(metrics.fold_summary(per_fold), ["mean", "std"])
@@ -438,20 +449,20 @@ def _metrics_frame(spark, values: dict) -> DataFrame:
 
 
 def grid_search(spark, sf):
-    found = classify.search_forest(_emb3(spark, sf), EMB8, (5, 10), (3, 5), folds=3)
+    found = classify.search_forest(_emb3(spark, sf), EMB, (5, 10), (3, 5), folds=3)
     return _metrics_frame(spark, {"trees": found.trees, "depth": found.depth, "cv_accuracy": found.cv_accuracy})
 
 
 def nested_cv(spark, sf):
-    return _metrics_frame(spark, classify.nested_cv(_emb3(spark, sf), EMB8, (5,), (3,), outer=3, inner=3))
+    return _metrics_frame(spark, classify.nested_cv(_emb3(spark, sf), EMB, (5,), (3,), outer=3, inner=3))
 
 
 def resample_then_classify(spark, sf):
-    parts = stratified_folds(_emb3(spark, sf), EMB8, 5, 7).persist()
+    parts = stratified_folds(_emb3(spark, sf), EMB, 5, 7).persist()
     train, test = parts.where(F.col("fold") != 1).drop("fold"), parts.where(F.col("fold") == 1)
-    masked = amp.create_mcar(train, EMB8, list(EMB8.feats), 0.2)
-    imputed = classic.classic_imputers(EMB8)["LR_MICE"].fit_transform(masked)
-    return classic.classify_imputed({"LR_MICE": imputed}, test, EMB8, (5,), (5,), folds=3)
+    masked = amp.create_mcar(train, EMB, list(EMB.feats), 0.2)
+    imputed = classic.classic_imputers(EMB)["LR_MICE"].fit_transform(masked)
+    return classic.classify_imputed({"LR_MICE": imputed}, test, EMB, (5,), (5,), folds=3)
 
 
 def queries() -> dict:
@@ -493,7 +504,8 @@ def queries() -> dict:
         "mode_fill": _raw_fill("most_frequent"), "constant_fill": _raw_fill("constant"),
         "rmse_cells": rmse_cells,
         "rmse_pooled": lambda s, d: _round_cols(metrics.pooled_rmse(*_tail_mean(s, d), WIDE8), ["rmse"]),
-        "rmse_table": rmse_table,
+        "rmse_table": rmse_table, "report_write": report_write, "csv_round_trip": csv_round_trip,
+        "keyless_ingest": keyless_ingest, "leak_free_scale": leak_free_scale,
         "union_scores": lambda s, d: _round_cols(_scores(s, d).select("mech", "rate", "imp", "col", "rmse"), ["rmse"]),
         "rmse_std": lambda s, d: _round_cols(_scores(s, d).select("mech", "rate", "imp", "col", "rmse_std"), ["rmse_std"]),
         "col_difficulty": _difficulty("rmse"), "col_difficulty_std": _difficulty("rmse_std"),
@@ -502,20 +514,20 @@ def queries() -> dict:
         "best_by_rate_col": lambda s, d: _round_cols(policy.best_by_rate_col(_scores(s, d)), ["score"]),
         "policy_lookup": policy_lookup, "meta_features": meta_features,
         # chained and adaptive imputers
-        "lr_impute": lr_impute, "mice_lr_1round": _chain3(1), "mice_lr_rounds": _chain3(3),
+        "lr_impute": lr_impute, "mice_lr_1round": _chain(1), "mice_lr_rounds": _chain(3),
         "mice_lr": _on_wide(lambda s, d: ChainedImputer(WIDE8, "LR", 5, order="roman")),
         "mice_br": _on_wide(lambda s, d: ChainedImputer(WIDE8, "BR", 10)),
-        "mice_rf": _on_emb(lambda s, d: ChainedImputer(EMB8, "RF", 1, sizes=SMALL_TREES)),
-        "mice_gb": _on_emb(lambda s, d: ChainedImputer(EMB8, "GB", 1, sizes=SMALL_TREES)),
-        "mice_et": _on_emb(lambda s, d: ChainedImputer(EMB8, "ET", 1, sizes=SMALL_TREES)),
-        "svd_impute": _on_emb(lambda s, d: SvdImputer(EMB8, 4)),
-        "mf_impute": _on_emb(lambda s, d: FactorImputer(EMB8)),
-        "rate_adaptive": _on_emb(lambda s, d: RateAdaptiveImputer(EMB8, _emb_policy(s, d)[0], bins=(0.1, 0.3))),
+        "mice_rf": _on_wide(lambda s, d: ChainedImputer(WIDE8, "RF", 1, sizes=SMALL_TREES)),
+        "mice_gb": _on_wide(lambda s, d: ChainedImputer(WIDE8, "GB", 1, sizes=SMALL_TREES)),
+        "mice_et": _on_wide(lambda s, d: ChainedImputer(WIDE8, "ET", 1, sizes=SMALL_TREES)),
+        "svd_impute": _on_wide(lambda s, d: SvdImputer(WIDE8, 4)),
+        "mf_impute": _on_wide(lambda s, d: FactorImputer(WIDE8)),
+        "rate_adaptive": _on_wide(lambda s, d: RateAdaptiveImputer(WIDE8, _policy(s, d)[0], bins=(0.1, 0.3))),
         "column_adaptive": _on_wide(lambda s, d: ColumnAdaptiveImputer(WIDE8, {(0.2, j): "BR" for j in (1, 3)})),
-        "meta_column_adaptive": _on_emb(lambda s, d: MetaColumnAdaptiveImputer(EMB8, _selector(s, d))),
-        "cluster_meta_adaptive": _on_emb(lambda s, d: ClusterMetaColumnAdaptiveImputer(EMB8, _kmeans(s, d), _selector(s, d))),
-        "cluster_adaptive": _on_emb(lambda s, d: ClusteredImputer(EMB8, _kmeans(s, d), *_emb_policy(s, d))),
-        "uncertainty": _on_emb(lambda s, d: UncertaintyAwareColumnAdaptiveImputer(EMB8, {(0.3, j): "BR" for j in range(0, 8, 2)}, ensemble="bootstrap")),
+        "meta_column_adaptive": _on_wide(lambda s, d: MetaColumnAdaptiveImputer(WIDE8, _selector(s, d))),
+        "cluster_meta_adaptive": _on_wide(lambda s, d: ClusterMetaColumnAdaptiveImputer(WIDE8, _kmeans(s, d), _selector(s, d))),
+        "cluster_adaptive": _on_wide(lambda s, d: ClusteredImputer(WIDE8, _kmeans(s, d), *_policy(s, d))),
+        "uncertainty": _on_wide(lambda s, d: UncertaintyAwareColumnAdaptiveImputer(WIDE8, {(0.2, j): "BR" for j in range(0, 8, 2)}, ensemble="bootstrap")),
         "cluster_label_mice": _augmented("label"), "cluster_onehot_mice": _augmented("onehot"),
         "cluster_mcmv_mice": _augmented("mcmv"),
         "meta_select": meta_select, "meta_cv": meta_cv,
@@ -523,15 +535,15 @@ def queries() -> dict:
         "method_comparison": _comparison,
         "method_report": lambda s, d: compare.report(_comparison(s, d), "mcar"),
         # neighbours and rebalancing
-        "knn_join": _neighbours(EMB8, _emb, 3), "knn_join_in_class": _neighbours(EMB8, _emb3, 5, "label"),
+        "knn_join": _neighbours(EMB, _emb, 3), "knn_join_in_class": _neighbours(EMB, _emb3, 5, "label"),
         "knn_impute": knn_impute,
-        "tomek_links": lambda s, d: resample.tomek_links(_emb3(s, d), EMB8),
-        "enn": lambda s, d: resample.edited_neighbours(_emb3(s, d), EMB8).select("row_id", "label"),
+        "tomek_links": lambda s, d: resample.tomek_links(_emb3(s, d), EMB),
+        "enn": lambda s, d: resample.edited_neighbours(_emb3(s, d), EMB).select("row_id", "label"),
         **{name: _resampled(name) for name in resample.RESAMPLERS},
         # clusters
         "kmeans_assign": kmeans_assign,
-        "kmeans_fit": lambda s, d: _kmeans(s, d).assign(_emb_z(s, d)).select("row_id", "cluster"),
-        "fcm_fit": lambda s, d: _fuzzy(s, d).assign(_emb_z(s, d)).select("row_id", "cluster"),
+        "kmeans_fit": lambda s, d: _kmeans(s, d).assign(_wide_z(s, d)).select("row_id", "cluster"),
+        "fcm_fit": lambda s, d: _fuzzy(s, d).assign(_wide_z(s, d)).select("row_id", "cluster"),
         "cluster_sizes": lambda s, d: kmeans_assign(s, d).groupBy("cluster").agg(F.count("*").alias("n")),
         "fcm_step": fcm_step, "mcmv": mcmv, "mcmv_feature": _feature("mcmv", ["mcmv"]),
         "onehot_cluster": _feature("onehot", ["c0", "c1", "c2"]),

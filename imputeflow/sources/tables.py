@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from imputeflow.functions.scalars import nan_to_null, sentinel_to_null
@@ -10,7 +10,7 @@ from imputeflow.spec import TableSpec
 
 WIDE8 = TableSpec("row_id", ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size",
                              "p_retailprice", "o_totalprice", "s_acctbal"), "label")
-EMB8 = TableSpec("row_id", tuple(f"f{i}" for i in range(8)), "label")
+EMB = TableSpec("row_id", tuple(f"f{i}" for i in range(64)), "label")
 EVENTS = TableSpec("row_id", ("value",), "label")
 
 
@@ -30,6 +30,19 @@ def read_features_parquet(spark: SparkSession, path: str, spec: TableSpec) -> Da
     return df.select(spec.key, *feats, *([spec.label] if spec.label else []))
 
 
+def with_row_key(df: DataFrame, key: str = "row_id") -> DataFrame:
+    """Give rows of a table without a key one: a digest of the row and a number among equal rows.
+
+    The same rows get the same keys however the table is partitioned. Equal rows are alike in everything, so it
+    doesn't matter which of them has which number.
+    """
+    texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\\N")) for c in df.columns]
+    digest = F.md5(F.concat_ws("\x1f", *texts))
+    number = F.row_number().over(Window.partitionBy("__digest").orderBy(F.lit(0)))
+    named = df.withColumn("__digest", digest).withColumn("__number", number)
+    return named.select(F.concat_ws("#", "__digest", F.col("__number").cast("string")).alias(key), *df.columns)
+
+
 def append_metrics(metrics: DataFrame, path: str) -> None:
     """Add rows to a long metrics table; earlier runs stay."""
     metrics.write.mode("append").parquet(path)
@@ -60,12 +73,12 @@ def wide8(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("l_returnflag").alias("label")))
 
 
-def emb8(spark: SparkSession, sf_dir: str, merge_from: int | None = None) -> DataFrame:
-    """First eight components of the vectors; ``merge_from`` joins the classes from there on."""
+def emb(spark: SparkSession, sf_dir: str, merge_from: int | None = None) -> DataFrame:
+    """All components of the vectors as columns; ``merge_from`` joins the classes from there on."""
     label = F.col("label") if merge_from is None else F.least(F.col("label"), F.lit(merge_from))
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("row_id"),
-        *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)],
+        *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(len(EMB.feats))],
         label.cast("int").alias("label"))
 
 
