@@ -16,7 +16,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from imputeflow.operators import amputate as amp  # noqa: E402
 from imputeflow.operators import metrics, resample, stats  # noqa: E402
 from imputeflow.operators.adaptive import ClusteredImputer, ColumnAdaptiveImputer  # noqa: E402
-from imputeflow.operators.cluster import CentroidClusterer  # noqa: E402
+from imputeflow.operators.cluster import CentroidClusterer, silhouette_squared, squared_distance  # noqa: E402
 from imputeflow.operators.families import TreeSizes  # noqa: E402
 from imputeflow.operators.knn_impute import KnnImputer  # noqa: E402
 from imputeflow.operators.lowrank import SvdImputer  # noqa: E402
@@ -24,7 +24,7 @@ from imputeflow.operators.mice import ChainedImputer  # noqa: E402
 from imputeflow.operators.simple import SimpleImputer  # noqa: E402
 from imputeflow.session import ship_package  # noqa: E402
 from imputeflow.operators.split import stratified_folds  # noqa: E402
-from imputeflow.sources.tables import EMB8, WIDE8, emb8, wide8  # noqa: E402
+from imputeflow.sources.tables import EMB, WIDE8, emb, wide8  # noqa: E402
 
 
 def main() -> None:
@@ -53,8 +53,8 @@ def main() -> None:
 
     raw = wide8(spark, sf_dir).repartition(cpus).persist()
     timed("wide_join", lambda: force(raw))
-    timed("profile_correlation", lambda: (stats.column_profile(raw, feats).collect(),
-                                          stats.correlation_long(raw, feats).collect()))
+    timed("profile", lambda: stats.column_profile(raw, feats).collect())
+    timed("correlation", lambda: stats.correlation_long(raw, feats).collect())
     z = timed("zscore", lambda: stats.z_score(raw, feats)).persist()
     timed("zscore_rows", lambda: force(z))
     timed("stratified_folds", lambda: force(stratified_folds(z, WIDE8)))
@@ -72,11 +72,15 @@ def main() -> None:
         WIDE8, CentroidClusterer(feats, centers), best_by_rate_col={(0.2, j): "BR" for j in range(8)}).fit_transform(gaps)))
     timed("svd_impute", lambda: force(SvdImputer(WIDE8, 4).fit_transform(gaps)))
     timed("rf_mice_1_round", lambda: force(ChainedImputer(
-        EMB8, "RF", 1, sizes=TreeSizes(rf_trees=10, max_depth=5)).fit_transform(
-            amp.create_mcar(emb8(spark, sf_dir), EMB8, list(EMB8.feats), 0.2).persist())))
-    e = emb8(spark, sf_dir).persist()
-    timed("knn_impute", lambda: force(KnnImputer(EMB8).fit_transform(amp.create_mcar(e, EMB8, list(EMB8.feats), 0.2))))
-    timed("smote_enn", lambda: force(resample.smote_enn(emb8(spark, sf_dir, 2).persist(), EMB8)))
+        WIDE8, "RF", 1, sizes=TreeSizes(rf_trees=10, max_depth=5)).fit_transform(gaps)))
+    tagged = CentroidClusterer(feats, centers).assign(z).persist()
+    timed("silhouette_squared", lambda: silhouette_squared(tagged, feats))
+    closeness = F.array(*[1 / (1 + squared_distance(feats, c)) for c in centers])
+    classes = sorted(r["label"] for r in z.select("label").distinct().collect())
+    timed("ovo_auc", lambda: metrics.ovo_auc(z.select("label", closeness.alias("p")), "label", "p", classes).collect())
+    e = emb(spark, sf_dir).persist()
+    timed("knn_impute", lambda: force(KnnImputer(EMB).fit_transform(amp.create_mcar(e, EMB, list(EMB.feats), 0.2))))
+    timed("smote_enn", lambda: force(resample.smote_enn(emb(spark, sf_dir, 2).persist(), EMB)))
     print(json.dumps({"metric": "imputation_suite_seconds", "value": round(sum(spent.values()), 3),
                       "unit": "sec", "queries": spent, "sf": sf_dir.rstrip("/").split("sf")[-1]}))
 
