@@ -13,7 +13,7 @@ from imputeflow.operators.patterns import (
     MAX_PATTERN_COLS, PatternMoments, filled_moments, largest_known, pattern_transform, round_changes,
 )
 from imputeflow.operators.simple import Imputer, columns_by_missing, fill_values
-from imputeflow.session import cut_lineage
+from imputeflow.session import RollingCut
 from imputeflow.spec import TableSpec
 
 TOL = 1e-3  # fixed value: a round that changes less, relative to the largest known value, is the last
@@ -88,7 +88,7 @@ class ChainedImputer(Imputer):
         state = df.withColumns({f"__gone_{h}": F.col(h).isNull() for h in holes})
         state = state.withColumns({c: F.coalesce(F.col(c), F.lit(known[c])) for c in cols})
         limit = self.tol * largest_known(df, cols) if self.tol and holes else None
-        chain, done = [], 0
+        chain, done, rolling = [], 0, RollingCut()
         for r in range(self.max_iter if holes else 0):
             state = state.withColumns({f"__was_{h}": F.col(h) for h in holes})
             for h in holes:
@@ -100,9 +100,9 @@ class ChainedImputer(Imputer):
                 state = state.withColumn(h, F.when(F.col(f"__gone_{h}"), F.col("__pred"))
                                          .otherwise(F.col(h))).drop("__pred")
                 if self.family not in LINEAR:
-                    state = cut_lineage(state)
+                    state = rolling.cut(state)
             if self.family in LINEAR:
-                state = cut_lineage(state)
+                state = rolling.cut(state)
             done = r + 1
             if limit is not None:
                 moved = total([F.abs(F.col(h) - F.col(f"__was_{h}")) for h in holes])
@@ -140,7 +140,10 @@ class StepChainModel:
         holes = list(dict.fromkeys(h for h, _ in self.chain))
         state = df.withColumns({f"__gone_{h}": F.col(h).isNull() for h in holes})
         state = state.withColumns({c: F.coalesce(F.col(c), F.lit(self.known[c])) for c in self.cols})
-        for h, model in self.chain:
+        rolling = RollingCut()
+        for n, (h, model) in enumerate(self.chain):
+            if n and n % len(holes) == 0 and not df.isStreaming:
+                state = rolling.cut(state)
             state = model.add_prediction(state, "__pred")
             state = state.withColumn(h, F.when(F.col(f"__gone_{h}"), F.col("__pred"))
                                      .otherwise(F.col(h))).drop("__pred")

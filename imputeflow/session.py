@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class RollingCut:
+    """Lineage cuts of a loop: each writes the table anew and then deletes the one before, so two are alive at most."""
+
+    def __init__(self):
+        self.path = None
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        spark = df.sparkSession
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/round-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        if self.path:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        self.path = path
+        return spark.read.schema(df.schema).parquet(path)
+
+
 def small_table(spark: SparkSession, rows: list, schema: str, row_bytes: int) -> DataFrame:
     """A table made of model parameters; hinted for broadcast only while it is really small."""
     df = spark.createDataFrame(rows, schema)

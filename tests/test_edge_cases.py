@@ -123,3 +123,35 @@ def test_rows_without_a_key_get_one(spark):
     df = spark.createDataFrame(rows, "v double, t string")
     keys = [sorted(r.row_id for r in with_row_key(df.repartition(n)).collect()) for n in (1, 3)]
     assert keys[0] == keys[1] and len(set(keys[0])) == 4
+
+
+@pytest.mark.parametrize("stepwise", [False, True])
+def test_low_rank_models_fill_as_fit_transform_does(spark, stepwise):
+    from imputeflow.operators.lowrank import FactorImputer, SvdImputer
+
+    g = np.random.default_rng(4)
+    spec = TableSpec("k", ("a", "b", "c", "d"))
+    x = g.normal(size=(120, 2)) @ g.normal(size=(2, 4))
+    gone = g.random(x.shape) < 0.2
+    gone[gone.all(1)] = False
+    rows = [(i, *(None if m else float(v) for v, m in zip(r, mask, strict=True)))
+            for i, (r, mask) in enumerate(zip(x, gone, strict=True))]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double, d double")
+    for imputer in (SvdImputer(spec, 2, rounds=30, stepwise=stepwise), FactorImputer(spec, 2, stepwise=stepwise)):
+        want = {r.k: tuple(r)[1:] for r in imputer.fit_transform(df).collect()}
+        for r in imputer.fit(df).transform(df).collect():
+            assert tuple(r)[1:] == pytest.approx(want[r.k], abs=1e-8)
+
+
+def test_rounds_leave_two_tables_at_most(spark, tmp_path, monkeypatch):
+    from imputeflow import session
+    from imputeflow.operators.families import TreeSizes
+    from imputeflow.operators.mice import ChainedImputer
+
+    monkeypatch.setattr(session, "ensure_checkpoint_dir", lambda spark: str(tmp_path))
+    g = np.random.default_rng(2)
+    rows = [(i, float(g.normal()) if i % 5 else None, float(g.normal()) if i % 7 else None, 0) for i in range(80)]
+    model = ChainedImputer(SPEC, "RF", 2, tol=None, sizes=TreeSizes(rf_trees=2, max_depth=2)).fit(frame(spark, rows))
+    assert len(list(tmp_path.glob("round-*"))) <= 1
+    assert model.transform(frame(spark, rows)).where("a is null or b is null").count() == 0
+    assert len(list(tmp_path.glob("round-*"))) <= 2
