@@ -1,7 +1,7 @@
 """Blocks of documents, and an exchange of keys between them.
 
-A block is a run of rows as a compressed Arrow stream: it is moved, joined and read again as one row of bounded size. An
-exchange asks, for keys at places of blocks, which keys stand at more than one place. Inside a block equal keys are found
+A block is a run of rows as a compressed Arrow stream: it is joined and read again as one row of bounded size, from a
+table bucketed by block, so joins by block don't move it. An exchange asks, for keys at places of blocks, which keys stand at more than one place. Inside a block equal keys are found
 at once, and only one of them travels; keys are packed by group of a hash, so a very common key is one entry per block.
 """
 
@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from imputeflow.llm.shared import slices, write_table
+from imputeflow.llm.shared import slices, write_buckets, write_table
 
 BLOCK_BYTES = 4 << 20
-PACKED = "block long, grp long, keys binary, places binary"
+PACKED = "block long, grp long, keys binary, places binary"  # a negative group needs no answer
 FOUND = "block long, places binary"
 
 
@@ -56,7 +56,7 @@ def make_blocks(docs: DataFrame, text_col: str, name: str, limit: int = BLOCK_BY
         if waiting:
             yield flush()
 
-    return write_table(docs.mapInArrow(make, "block long, content binary"), name)[0]
+    return write_buckets(docs.mapInArrow(make, "block long, content binary"), "block", name)
 
 
 def each_block(blocks: DataFrame, work: Callable[[int, pa.RecordBatch, list[np.ndarray]], Iterator[pa.RecordBatch]],
@@ -80,7 +80,7 @@ def each_block(blocks: DataFrame, work: Callable[[int, pa.RecordBatch, list[np.n
 def send(block: int, keys: np.ndarray, places: np.ndarray, groups: int) -> pa.RecordBatch:
     """Rows that leave a block. ``keys``: one or two columns of unsigned 64-bit integers.
 
-    Places whose key repeats inside the block go out as group -1, which needs no answer; one place of each key goes on.
+    Places whose key repeats inside the block go out in a negative group; one place of each key goes on.
     """
     order = np.lexsort(keys.T[::-1])
     keys, places = keys[order], places[order]
@@ -102,7 +102,7 @@ def send(block: int, keys: np.ndarray, places: np.ndarray, groups: int) -> pa.Re
     packed_keys = [keys[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
     packed_places = [places[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
     if len(own):
-        numbers, packed_keys, packed_places = [-1, *numbers], [b"", *packed_keys], [own.tobytes(), *packed_places]
+        numbers, packed_keys, packed_places = [-1 - block, *numbers], [b"", *packed_keys], [own.tobytes(), *packed_places]
     return pa.RecordBatch.from_pydict({
         "block": pa.array([block] * len(numbers), pa.int64()), "grp": pa.array(numbers, pa.int64()),
         "keys": pa.array(packed_keys, pa.binary()), "places": pa.array(packed_places, pa.binary())})
@@ -110,9 +110,9 @@ def send(block: int, keys: np.ndarray, places: np.ndarray, groups: int) -> pa.Re
 
 def shared_places(sent: DataFrame, width: int, name: str) -> DataFrame:
     """(block, places): all places whose key stands at more than one place of the whole table."""
-    sent, _ = write_table(sent, name)
-
     def match(table: pa.Table) -> pa.Table:
+        if table["grp"][0].as_py() < 0:
+            return table.select(["block", "places"])
         blocks = table["block"].to_numpy()
         places = [np.frombuffer(x, np.int32) for x in table["places"].to_pylist()]
         keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64).reshape(-1, width)
@@ -129,8 +129,7 @@ def shared_places(sent: DataFrame, width: int, name: str) -> DataFrame:
         return pa.table({"block": pa.array([blocks[owner[c]] for c in [0, *cuts.tolist()]] if parts else [], pa.int64()),
                          "places": pa.array([p.tobytes() for p in parts], pa.binary())})
 
-    found = sent.where("grp >= 0").groupBy("grp").applyInArrow(match, FOUND)
-    return write_table(found.unionByName(sent.where("grp < 0").select("block", "places")), f"{name}-found")[0]
+    return write_table(sent.groupBy("grp").applyInArrow(match, FOUND), name)[0]
 
 
 def window_hashes(h: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:

@@ -28,6 +28,16 @@ def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def write_buckets(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write a table into the shared folder in buckets of a key, as its tasks have it; joins by the key don't move it."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    df.write.bucketBy(n, key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table of ``write_table`` that nothing reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

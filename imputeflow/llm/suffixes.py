@@ -89,6 +89,8 @@ def _neighbours(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _match_suffixes(sent: DataFrame) -> DataFrame:
     """(block, places): 4 * place + state for each suffix that begins like another one."""
     def match(table: pa.Table) -> pa.Table:
+        if table["grp"][0].as_py() < 0:
+            return table.select(["block", "places"])
         blocks = table["block"].to_numpy()
         places = [np.frombuffer(x, np.int32) for x in table["places"].to_pylist()]
         keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64).reshape(-1, 3)
@@ -101,8 +103,7 @@ def _match_suffixes(sent: DataFrame) -> DataFrame:
         return pa.table({"block": pa.array([blocks[owner[c]] for c in [0, *cuts.tolist()]] if parts else [], pa.int64()),
                          "places": pa.array([p.tobytes() for p in parts], pa.binary())})
 
-    found = sent.where("grp >= 0").groupBy("grp").applyInArrow(match, FOUND)
-    return write_table(found.unionByName(sent.where("grp < 0").select("block", "places")), "suffixes-found")[0]
+    return write_table(sent.groupBy("grp").applyInArrow(match, FOUND), "suffixes")[0]
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, gram: int = GRAM,
@@ -129,12 +130,11 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, prefix: int = PREFI
         parts = np.split(order, cuts)
         yield pa.RecordBatch.from_pydict({
             "block": pa.array([number] * (len(parts) + 1), pa.int64()),
-            "grp": pa.array([-1, *[int(group[x[0]]) for x in parts]], pa.int64()),
+            "grp": pa.array([-1 - number, *[int(group[x[0]]) for x in parts]], pa.int64()),
             "keys": pa.array([b"", *[keys[x].tobytes() for x in parts]], pa.binary()),
             "places": pa.array([own.tobytes(), *[place[x].astype(np.int32).tobytes() for x in parts]], pa.binary())})
 
-    sent, _ = write_table(each_block(blocks, suffixes, SUFFIXES), "suffixes")
-    matched = _match_suffixes(sent)
+    matched = _match_suffixes(each_block(blocks, suffixes, SUFFIXES))
 
     def known(h, offsets, answers):
         """Starts of windows, which of them are matched in full, and which take part in the comparison."""
