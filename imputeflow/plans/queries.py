@@ -62,6 +62,12 @@ def _wide_gaps(spark, sf):
                  lambda: amp.create_mcar(_wide_z(spark, sf), WIDE8, list(WIDE8.feats), 0.2).persist())
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """The wide table with its class as a number, where the class is a predictor."""
+    classes = F.array(*[F.lit(c) for c in "ANR"])
+    return df.withColumn("label", (F.array_position(classes, F.col("label")) - 1).cast("double"))
+
+
 def _r(c, digits: int = 4):
     """Rounded for comparison; adding zero turns -0.0 into 0.0."""
     return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
@@ -338,15 +344,16 @@ def meta_cv(spark, sf):
 
 def _augmented(how, family="LR"):
     def run(spark, sf):
-        return classic.impute_with_clusters(_wide_gaps(spark, sf), _wide_z(spark, sf), WIDE8, family, how,
+        return classic.impute_with_clusters(_numbered(_wide_gaps(spark, sf)), _wide_z(spark, sf), WIDE8, family, how,
                                             _fuzzy(spark, sf), SMALL_TREES).drop("label")
     return run
 
 
 def classic_scores(spark, sf):
-    gaps = {("mcar", 0.3): _wide_gaps(spark, sf)}
-    chosen = {k: v for k, v in classic.classic_imputers(WIDE8, SMALL_TREES, 1).items() if k not in ("GB_MICE", "RF_MICE")}
-    return classic.score_tables(_wide_z(spark, sf), gaps, WIDE8, chosen)
+    gaps = {("mcar", 0.2): _numbered(_wide_gaps(spark, sf))}
+    chosen = classic.classic_imputers(WIDE8, SMALL_TREES, 1)
+    chosen = {k: v for k, v in chosen.items() if k not in ("GB_MICE", "RF_MICE", "KNN")}
+    return classic.score_tables(_numbered(_wide_z(spark, sf)), gaps, WIDE8, chosen)
 
 
 def _comparison(spark, sf):
@@ -461,8 +468,8 @@ def resample_then_classify(spark, sf):
     parts = stratified_folds(_emb3(spark, sf), EMB, 5, 7).persist()
     train, test = parts.where(F.col("fold") != 1).drop("fold"), parts.where(F.col("fold") == 1)
     masked = amp.create_mcar(train, EMB, list(EMB.feats), 0.2)
-    imputed = classic.classic_imputers(EMB)["LR_MICE"].fit_transform(masked)
-    return classic.classify_imputed({"LR_MICE": imputed}, test, EMB, (5,), (5,), folds=3)
+    imputed = classic.classic_imputers(EMB)["MF"].fit_transform(masked)
+    return classic.classify_imputed({"MF": imputed}, test, EMB, (5,), (5,), folds=3)
 
 
 def queries() -> dict:
