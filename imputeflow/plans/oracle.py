@@ -451,6 +451,12 @@ def oracle_sql() -> dict[str, str]:
     q["mice_lr_1round"] = query([*m_z, *chain(1)], table_of("imp", W))
     q["mice_lr_rounds"] = query([*m_z, *chain(3)], table_of("imp", W))
 
+    empty = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in W)
+    for name, imps in (("linear_facts", "lr br svd mf column cluster uncertain"), ("tree_facts", "rf gb et")):
+        listed = ", ".join(f"'{i}'" for i in imps.split())
+        q[name] = query([*m_z, ("f", f"SELECT count(*) AS n, CAST({empty} AS BIGINT) AS n_gaps FROM m")],
+                        f"SELECT unnest([{listed}]) AS imp, n, n_gaps, 0::BIGINT AS n_moved, 0::BIGINT AS n_left, TRUE AS near FROM f")
+
     q["knn_join"] = query([RAW_EMB, neighbours("emb", "emb", 3, "nn")], f"SELECT row_id, dk, rank::INTEGER AS rank, {r('dist', 6)} AS dist FROM nn")
     q["knn_join_in_class"] = query([RAW_EMB3, neighbours("emb", "emb", 5, "nn", True)], f"SELECT row_id, dk, rank::INTEGER AS rank, {r('dist', 6)} AS dist FROM nn")
     both = "(q.{c} IS NOT NULL AND d.{c} IS NOT NULL)"

@@ -304,6 +304,37 @@ def _on_wide(make):
     return run
 
 
+def _facts(imputers):
+    """Per imputer what must hold on every row: known cells stay, no gap is left, the error is below twice a mean fill's."""
+    def run(spark, sf):
+        z, gaps = _wide_z(spark, sf), _wide_gaps(spark, sf)
+        plain = metrics.pooled_rmse(z, gaps, SimpleImputer(WIDE8).fit_transform(gaps), WIDE8).first().rmse
+        rows = []
+        for name, make in imputers.items():
+            done = make(spark, sf).fit_transform(gaps).persist()
+            both = gaps.join(done.select("row_id", *[F.col(f).alias(f"i_{f}") for f in WIDE8.feats]), "row_id", "left")
+            moved = total([F.count_if(F.abs(F.col(f) - F.col(f"i_{f}")) > 1e-9) for f in WIDE8.feats])
+            left = total([F.count_if(F.col(f"i_{f}").isNull() | F.isnan(f"i_{f}")) for f in WIDE8.feats])
+            empty = total([F.count_if(F.col(f).isNull()) for f in WIDE8.feats])
+            found = both.agg(F.count("*").alias("n"), empty.alias("n_gaps"), moved.alias("n_moved"), left.alias("n_left")).first()
+            rmse = metrics.pooled_rmse(z, gaps, done, WIDE8).first().rmse
+            rows.append((name, *found, bool(rmse < 2 * plain)))
+            done.unpersist()
+        return small_table(spark, rows, "imp string, n long, n_gaps long, n_moved long, n_left long, near boolean", 64)
+    return run
+
+
+LINEAR_FACTS = {
+    "lr": lambda s, d: ChainedImputer(WIDE8, "LR", 5, order="roman"), "br": lambda s, d: ChainedImputer(WIDE8, "BR", 10),
+    "svd": lambda s, d: SvdImputer(WIDE8, 4), "mf": lambda s, d: FactorImputer(WIDE8),
+    "column": lambda s, d: ColumnAdaptiveImputer(WIDE8, {(0.2, j): "BR" for j in (1, 3)}),
+    "cluster": lambda s, d: ClusteredImputer(WIDE8, _kmeans(s, d), *_policy(s, d)),
+    "uncertain": lambda s, d: UncertaintyAwareColumnAdaptiveImputer(
+        WIDE8, {(0.2, j): "BR" for j in range(0, 8, 2)}, ensemble="bootstrap"),
+}
+TREE_FACTS = {f: (lambda s, d, f=f: ChainedImputer(WIDE8, f.upper(), 1, sizes=SMALL_TREES)) for f in ("rf", "gb", "et")}
+
+
 def _family_scores(spark, sf):
     def make():
         z = _wide_z(spark, sf)
@@ -537,6 +568,7 @@ def queries() -> dict:
         "uncertainty": _on_wide(lambda s, d: UncertaintyAwareColumnAdaptiveImputer(WIDE8, {(0.2, j): "BR" for j in range(0, 8, 2)}, ensemble="bootstrap")),
         "cluster_label_mice": _augmented("label"), "cluster_onehot_mice": _augmented("onehot"),
         "cluster_mcmv_mice": _augmented("mcmv"),
+        "linear_facts": _facts(LINEAR_FACTS), "tree_facts": _facts(TREE_FACTS),
         "meta_select": meta_select, "meta_cv": meta_cv,
         "classic_scores": classic_scores,
         "method_comparison": _comparison,
