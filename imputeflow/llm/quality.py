@@ -32,6 +32,7 @@ TREE_ROWS = 256
 SAMPLE_ROWS = 8_000
 GOOD_LOSS = 0.002
 SCORE_BINS = 10_000
+SLICE = 3 << 20  # bytes of text whose words are worked on at once
 SEED = 7
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SYMBOLS = b"#*$%&|<>"
@@ -162,7 +163,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             s = statistics(batch.column("text"))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"),
                                               **{c: pa.array(s[c], pa.int64()) for c in COUNTS}})
@@ -239,12 +240,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     stats, _ = write_table(with_statistics(docs, id_col, text_col), "quality")
     model = fit(stats, labels)
 
-    @F.pandas_udf("boolean")
-    def kept(texts):
-        import pandas as pd
-        array = pa.array(texts, pa.large_string())
-        out = [model.kept(statistics(b.column("text"))) for b in
-               slices([pa.RecordBatch.from_arrays([array.cast(pa.string())], ["text"])])]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+    rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
 
-    return docs.where(kept(F.col(text_col).cast("string")))
+    def keep(batches):
+        for batch in slices(batches, text_col, SLICE):
+            yield batch.filter(pa.array(model.kept(statistics(batch.column(text_col)))))
+
+    return rows.mapInArrow(keep, rows.schema)
