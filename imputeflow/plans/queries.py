@@ -390,7 +390,7 @@ def classic_scores(spark, sf):
 def _comparison(spark, sf):
     def make():
         scores, scenarios = _family_scores(spark, sf)
-        one = {k: t for k, t in scenarios.items() if k[1] == 0.3}
+        one = {k: t for k, t in scenarios.items() if k == ("mcar", 0.3)}
         return compare.compare_methods(_wide_z(spark, sf), one, WIDE8, scores, _kmeans(spark, sf),
                                        sizes=SMALL_TREES, selector_trees=20, baseline_rounds=1)
     return _once("comparison", spark, sf, make)
