@@ -146,13 +146,12 @@ def test_zscore_leaves_a_constant_centred(spark):
     assert [(r.a, r.b) for r in got] == [(0.0, -1.0), (0.0, 1.0)]
 
 
-def test_correlation_wide_path_equals_narrow(spark, monkeypatch):
+def test_correlation_equals_pairwise_aggregates(spark):
     df = table(spark)
-    narrow = {(r.i, r.j): r.r for r in stats.correlation_long(df, SPEC.feats).collect()}
-    monkeypatch.setattr(stats, "PAIRWISE_LIMIT", 1)
-    wide = {(r.i, r.j): r.r for r in stats.correlation_long(df, SPEC.feats).collect()}
-    assert len(narrow) == 9
-    assert all(narrow[k] == pytest.approx(wide[k]) for k in narrow)
+    got = {(r.i, r.j): r.r for r in stats.correlation_long(df, SPEC.feats).collect()}
+    assert len(got) == 9
+    for (i, j), r in got.items():
+        assert r == pytest.approx(df.agg(F.corr(SPEC.feats[i], SPEC.feats[j])).first()[0])
 
 
 def test_simple_fills(spark):
