@@ -13,7 +13,7 @@ from imputeflow.operators.metrics import add_rmse_std, cell_rmse, scores_frame
 from imputeflow.operators.mice import chained_imputers_for_rate
 from imputeflow.operators.split import stratified_folds
 from imputeflow.operators.stats import assemble, column_profile, off_diagonal_correlation
-from imputeflow.session import cut_lineage
+from imputeflow.session import cut_lineage, side_by_side
 from imputeflow.spec import TableSpec
 
 META_FEATURES = ("rate", "col_idx", "col_mean", "col_std", "col_range", "max_corr", "mean_corr")
@@ -25,13 +25,14 @@ def score_imputers(truth: DataFrame, scenarios: dict, spec: TableSpec, imputers_
     ``imputers_for(rate)`` names the imputers to try. Each is a chain of Spark jobs; only
     its few scores come back.
     """
-    rows = []
-    for (mech, rate), masked in scenarios.items():
-        for name, imputer in imputers_for(rate).items():
-            imputed = imputer.fit_transform(masked)
-            rows += [(float(rate), name, r["col"], r.rmse, mech)
-                     for r in cell_rmse(truth, masked, imputed, spec).collect()]
-    return scores_frame(truth.sparkSession, rows)
+    def score(task):
+        mech, rate, masked, name, imputer = task
+        imputed = imputer.fit_transform(masked)
+        return [(float(rate), name, r["col"], r.rmse, mech) for r in cell_rmse(truth, masked, imputed, spec).collect()]
+
+    tasks = [(mech, rate, masked, name, imputer) for (mech, rate), masked in scenarios.items()
+             for name, imputer in imputers_for(rate).items()]
+    return scores_frame(truth.sparkSession, [row for rows in side_by_side(score, tasks) for row in rows])
 
 
 def score_families(truth: DataFrame, scenarios: dict, spec: TableSpec, sizes: TreeSizes = TreeSizes(),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from imputeflow.operators.orderstat import exact_quantiles
 from imputeflow.operators.simple import SimpleImputer, complete_cases
 from imputeflow.operators.split import read_fold, stratified_folds, write_folds
 from imputeflow.plans import classic, compare, policy
-from imputeflow.session import ensure_checkpoint_dir, small_table
+from imputeflow.session import ensure_checkpoint_dir, side_by_side, small_table
 from imputeflow.spec import TableSpec
 from imputeflow.sources.tables import (
     EMB, EVENTS, WIDE8, append_metrics, emb, events, read_features_csv, wide8, with_row_key, write_report)
@@ -328,30 +329,43 @@ LINEAR_FACTS = {
     "lr": lambda s, d: ChainedImputer(WIDE8, "LR", 5, order="roman"), "br": lambda s, d: ChainedImputer(WIDE8, "BR", 10),
     "svd": lambda s, d: SvdImputer(WIDE8, 4), "mf": lambda s, d: FactorImputer(WIDE8),
     "column": lambda s, d: ColumnAdaptiveImputer(WIDE8, {(0.2, j): "BR" for j in (1, 3)}),
-    "cluster": lambda s, d: ClusteredImputer(WIDE8, _kmeans(s, d), *_policy(s, d)),
+    "cluster": lambda s, d: ClusteredImputer(WIDE8, _kmeans(s, d), *_linear_policy(s, d)),
     "uncertain": lambda s, d: UncertaintyAwareColumnAdaptiveImputer(
         WIDE8, {(0.2, j): "BR" for j in range(0, 8, 2)}, ensemble="bootstrap"),
 }
 TREE_FACTS = {f: (lambda s, d, f=f: ChainedImputer(WIDE8, f.upper(), 1, sizes=SMALL_TREES)) for f in ("rf", "gb", "et")}
 
 
+def _scenarios(spark, sf):
+    """Every mechanism at every studied rate."""
+    return _once("scenarios", spark, sf, lambda: {
+        k: t.persist() for k, t in amp.scenario_tables(_wide_z(spark, sf), WIDE8).items()})
+
+
 def _family_scores(spark, sf):
+    return _once("family_scores", spark, sf, lambda: policy.score_families(
+        _wide_z(spark, sf), _scenarios(spark, sf), WIDE8).persist())
+
+
+def _linear_policy(spark, sf):
+    """A policy of linear families alone, for the facts of the linear imputers."""
     def make():
         z = _wide_z(spark, sf)
-        scenarios = {k: t.persist() for k, t in amp.scenario_tables(z, WIDE8, (0.1, 0.3), ("mcar", "mnar")).items()}
-        return policy.score_families(z, scenarios, WIDE8, only=("LR", "BR")).persist(), scenarios
-    return _once("family_scores", spark, sf, make)
+        scenarios = amp.scenario_tables(z, WIDE8, (0.1, 0.3), ("mcar", "mnar"))
+        scores = policy.score_families(z, scenarios, WIDE8, only=("LR", "BR"))
+        return policy.policy_values(policy.best_by_rate(scores), policy.best_by_rate_col(scores))
+    return _once("linear_policy", spark, sf, make)
 
 
 def _policy(spark, sf):
-    scores, _ = _family_scores(spark, sf)
+    scores = _family_scores(spark, sf)
     return _once("policy", spark, sf, lambda: policy.policy_values(
         policy.best_by_rate(scores), policy.best_by_rate_col(scores)))
 
 
 def _selector(spark, sf):
-    return _once("selector", spark, sf, lambda: policy.MetaSelector(MISSING_RATES, num_trees=20).fit(
-        _wide_z(spark, sf), WIDE8, policy.best_by_rate_col(_family_scores(spark, sf)[0])))
+    return _once("selector", spark, sf, lambda: policy.MetaSelector(MISSING_RATES).fit(
+        _wide_z(spark, sf), WIDE8, policy.best_by_rate_col(_family_scores(spark, sf))))
 
 
 def _kmeans(spark, sf):
@@ -364,7 +378,7 @@ def _fuzzy(spark, sf):
 
 
 def meta_select(spark, sf):
-    table = policy.meta_table(_wide_z(spark, sf), WIDE8, policy.best_by_rate_col(_family_scores(spark, sf)[0]))
+    table = policy.meta_table(_wide_z(spark, sf), WIDE8, policy.best_by_rate_col(_family_scores(spark, sf)))
     return _selector(spark, sf).predict_frame(table).select("rate", "col_idx", "best_imp", "imp")
 
 
@@ -381,19 +395,19 @@ def _augmented(how, family="LR"):
 
 
 def classic_scores(spark, sf):
-    gaps = {("mcar", 0.2): _numbered(_wide_gaps(spark, sf))}
-    chosen = classic.classic_imputers(WIDE8, SMALL_TREES, 1)
-    chosen = {k: v for k, v in chosen.items() if k not in ("GB_MICE", "RF_MICE", "KNN")}
-    return classic.score_tables(_numbered(_wide_z(spark, sf)), gaps, WIDE8, chosen)
+    gaps = {k: _numbered(t) for k, t in _scenarios(spark, sf).items()}
+    return classic.score_tables(_numbered(_wide_z(spark, sf)), gaps, WIDE8, classic.classic_imputers(WIDE8))
 
 
 def _comparison(spark, sf):
-    def make():
-        scores, scenarios = _family_scores(spark, sf)
-        one = {k: t for k, t in scenarios.items() if k == ("mcar", 0.3)}
-        return compare.compare_methods(_wide_z(spark, sf), one, WIDE8, scores, _kmeans(spark, sf),
-                                       sizes=SMALL_TREES, selector_trees=20, baseline_rounds=1)
-    return _once("comparison", spark, sf, make)
+    return _once("comparison", spark, sf, lambda: compare.compare_methods(
+        _wide_z(spark, sf), _scenarios(spark, sf), WIDE8, _family_scores(spark, sf), _kmeans(spark, sf)))
+
+
+def method_report(spark, sf):
+    found = _comparison(spark, sf)
+    tables = [compare.report(found, m).select(F.lit(m).alias("mech"), "*") for m in ("mcar", "mar", "mnar")]
+    return reduce(DataFrame.unionByName, tables)
 
 
 # ---- neighbours and rebalancing ------------------------------------------------------
@@ -498,9 +512,16 @@ def nested_cv(spark, sf):
 def resample_then_classify(spark, sf):
     parts = stratified_folds(_emb3(spark, sf), EMB, 5, 7).persist()
     train, test = parts.where(F.col("fold") != 1).drop("fold"), parts.where(F.col("fold") == 1)
-    masked = amp.create_mcar(train, EMB, list(EMB.feats), 0.2)
-    imputed = classic.classic_imputers(EMB)["MF"].fit_transform(masked)
-    return classic.classify_imputed({"MF": imputed}, test, EMB, (5,), (5,), folds=3)
+    scenarios = {k: t.persist() for k, t in amp.scenario_tables(train, EMB).items()}
+
+    def classify_list(task):  # the tables of all rates, of one mechanism and imputer
+        mech, name, imputer = task
+        tables = {f"{name} {mech} {rate}": imputer.fit_transform(t) for (m, rate), t in scenarios.items() if m == mech}
+        return classic.classify_imputed(tables, test, EMB)
+
+    lists = [(mech, name, imputer) for mech in ("mcar", "mar", "mnar")
+             for name, imputer in classic.classic_imputers(EMB).items()]
+    return reduce(DataFrame.unionByName, side_by_side(classify_list, lists))
 
 
 def queries() -> dict:
@@ -560,7 +581,7 @@ def queries() -> dict:
         "mice_et": _on_wide(lambda s, d: ChainedImputer(WIDE8, "ET", 1, sizes=SMALL_TREES)),
         "svd_impute": _on_wide(lambda s, d: SvdImputer(WIDE8, 4)),
         "mf_impute": _on_wide(lambda s, d: FactorImputer(WIDE8)),
-        "rate_adaptive": _on_wide(lambda s, d: RateAdaptiveImputer(WIDE8, _policy(s, d)[0], bins=(0.1, 0.3))),
+        "rate_adaptive": _on_wide(lambda s, d: RateAdaptiveImputer(WIDE8, _policy(s, d)[0])),
         "column_adaptive": _on_wide(lambda s, d: ColumnAdaptiveImputer(WIDE8, {(0.2, j): "BR" for j in (1, 3)})),
         "meta_column_adaptive": _on_wide(lambda s, d: MetaColumnAdaptiveImputer(WIDE8, _selector(s, d))),
         "cluster_meta_adaptive": _on_wide(lambda s, d: ClusterMetaColumnAdaptiveImputer(WIDE8, _kmeans(s, d), _selector(s, d))),
@@ -572,7 +593,7 @@ def queries() -> dict:
         "meta_select": meta_select, "meta_cv": meta_cv,
         "classic_scores": classic_scores,
         "method_comparison": _comparison,
-        "method_report": lambda s, d: compare.report(_comparison(s, d), "mcar"),
+        "method_report": method_report,
         # neighbours and rebalancing
         "knn_join": _neighbours(EMB, _emb, 3), "knn_join_in_class": _neighbours(EMB, _emb3, 5, "label"),
         "knn_impute": knn_impute,

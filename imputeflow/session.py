@@ -6,6 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def side_by_side(work, items, workers: int = 4) -> list:
+    """Results of independent chains of Spark jobs, in the order of the items; at most ``workers`` run at a time."""
+    with ThreadPoolExecutor(workers) as pool:
+        return list(pool.map(work, items))
+
+
 class RollingCut:
     """Lineage cuts of a loop: each writes the table anew and then deletes the one before, so two are alive at most."""
 
