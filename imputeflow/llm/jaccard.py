@@ -32,7 +32,7 @@ from imputeflow.llm.shared import slices, write_table
 from imputeflow.llm.shingles import WORDS, distinct_runs, shingle_hashes
 
 SIMILARITY = 0.8
-SIGNATURE = 32
+SIGNATURE = 64
 RECALL = 0.9999
 SMALL = 16
 LEVELS = 4
@@ -45,13 +45,24 @@ def runs_for(recall: float, similarity: float) -> int:
     """Runs until a pair at the threshold has been in one node with the wanted probability, LEVELS splits deep.
 
     With one token, or with two at 1 / similarity - 1, a pair keeps meeting in a critical branching process: the chance
-    to survive a split follows q -> 1 - (1 - s q) ((1 - p) + p (1 - s q)).
+    to survive a split follows q -> 1 - (1 - s q) ((1 - p) + p (1 - s q)). All runs choose from the same sample, so s is
+    the part of the sampled tokens that agrees: the miss is averaged over its binomial distribution, and a sample that
+    agrees in less than PLAUSIBLE counts as missed.
     """
-    p, q = 1 / similarity - 1, 1.0
-    for _ in range(LEVELS):
-        miss = 1 - similarity * q
-        q = 1 - miss * ((1 - p) + p * miss)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - q)))
+    p, kinds = 1 / similarity - 1, []
+    for agree in range(SIGNATURE + 1):
+        s, q = agree / SIGNATURE, 1.0
+        for _ in range(LEVELS):
+            miss = 1 - s * q
+            q = 1 - miss * ((1 - p) + p * miss)
+        chance = math.comb(SIGNATURE, agree) * similarity ** agree * (1 - similarity) ** (SIGNATURE - agree)
+        kinds.append((chance, q if s >= PLAUSIBLE else 0.0))
+    if sum(chance for chance, q in kinds if not q) >= 1 - recall:
+        raise ValueError(f"{SIGNATURE} sampled tokens are too few for a recall of {recall} at {similarity}")
+    runs = 1
+    while sum(chance * (1 - q) ** runs for chance, q in kinds) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def _children(path, similarity: float):
