@@ -231,9 +231,10 @@ def _blocks(docs: DataFrame, members: DataFrame, blocks: DataFrame, words: int,
 
 def similarity_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id of its group of linked texts), n_links, text_key.
+    """One row per document: doc_id, class_id (smallest doc_id of its group of linked texts), n_links, text_key, class_key.
 
-    n_links counts the other documents whose similarity is at least the threshold, copies included.
+    n_links counts the other documents whose similarity is at least the threshold, copies included. class_key is the
+    text_key of the group's first document by (doc_id, text_key).
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed, _ = write_table(signatures(docs, words), "signed")
@@ -248,19 +249,21 @@ def similarity_join(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     links = tested.groupBy("id").agg(F.sum("links").alias("links"))
     named = (members.join(groups, F.col("id") == F.col("node"), "left")
              .withColumn("root", F.coalesce("root", "id")).join(links, "id", "left"))
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    head = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    smallest = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), head["key"].alias("class_key"))
     per_class = named.join(smallest, "root").select(
-        F.col("key").alias("k"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+        F.col("key").alias("k"), "class_id", "class_key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     return signed.select("doc_id", "key").join(per_class, F.col("key") == F.col("k"), "left").select(
         "doc_id", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("key").alias("text_key"))
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("key").alias("text_key"),
+        F.coalesce("class_key", "key").alias("class_key"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with one of each group of linked texts (its smallest id), all columns kept."""
+    """The documents with one of each group of linked texts (its smallest id, then text hash), all columns kept."""
     found, _ = write_table(similarity_join(docs, id_col=id_col, text_col=text_col, **options), "joined")
     lone = found.where("n_links = 0")
-    first = found.where("n_links > 0 and class_id <=> doc_id")
+    first = found.where("n_links > 0 and class_id <=> doc_id and class_key = text_key")
     keep = lone.unionByName(first).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     own = docs.withColumn("__own", F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     kept = own.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")),

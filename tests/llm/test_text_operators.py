@@ -260,6 +260,18 @@ def test_tiles_and_large_nodes(spark, monkeypatch):
     assert rows_of(jaccard.similarity_join(df).select("doc_id", "class_id", "n_links")) == sorted(want, key=repr)
 
 
+def test_one_document_of_a_group_stays(spark):
+    base = [f"w{i}" for i in range(100)]
+    near = [" ".join([*base[:k], "new", *base[k + 1:]]) for k in (10, 50, 90)]
+    other = " ".join(f"v{i}" for i in range(50))
+    for ids in ((7, 7, 9), (None, None, None), (None, 3, 3)):  # one id on two near texts; no ids
+        df = spark.createDataFrame([*zip(ids, near, strict=True), (8, other)], "doc_id long, text string")
+        kept = jaccard.keep_one(df).collect()
+        assert sorted(r["text"] == other for r in kept) == [False, True]
+        smallest = min((i for i in ids if i is not None), default=None)
+        assert {r["doc_id"] for r in kept} == {8, smallest}
+
+
 def test_runs_reach_the_recall_on_shared_samples():
     """Pairs at the threshold, each with one sample for all runs, followed through all splits."""
     g = np.random.default_rng(1)
