@@ -5,8 +5,8 @@ first LENGTH - PREFIX + 1 places, the one whose GRAM words hash lowest, so equal
 picked by equal windows agree for at least PREFIX words. A suffix travels as the names (hashes) of three successive runs:
 its first PREFIX words, the words after them up to LENGTH, and the LENGTH - PREFIX words before it. Sorted by these
 names, equal beginnings are neighbours. A suffix whose neighbour agrees in all three names is matched to the
-full reach of every window that picked it. One that only agrees in its first words is extended left and right: the
-windows around it are compared word for word (by 128 bits of hashes), so every repeated window is found and no other.
+full reach of every window that picked it. One that only agrees in its first words is not extended word for word: the
+windows around it are regrouped by 128 bits of hashes in the exchange of operator 2, so every repeated window is found and no other.
 
 The result has a row for each document with words inside a window that starts at another place too (same document
 included): its number of words, how many are covered, and the covered spans. Null text has no words; texts
