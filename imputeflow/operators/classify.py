@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from imputeflow.operators.forests import Forest, Growth, ModelSpec, bin_edges, fit_models, forest_rows
 from imputeflow.operators.metrics import accuracy, ovo_auc
 from imputeflow.operators.resample import adasyn
 from imputeflow.operators.split import stratified_folds
-from imputeflow.operators.stats import assemble
 from imputeflow.session import cut_lineage
 from imputeflow.spec import TableSpec
 
@@ -41,51 +39,106 @@ def label_from_index(df: DataFrame, index: str, classes: list, out: str) -> Data
 
 @dataclass
 class ForestSearch:
-    model: object
+    """The best grid point: the first ``trees`` trees of a forest grown on all rows, cut at ``depth``."""
+
+    forest: Forest
     trees: int
     depth: int
     cv_accuracy: float
     classes: list
+    feats: list
 
     def score(self, df: DataFrame, spec: TableSpec) -> tuple[float, float]:
         """Accuracy and one-vs-one AUC on a table."""
-        scored = self.model.transform(assemble(label_index(df, spec.label, self.classes), spec.feats))
-        scored = cut_lineage(scored.select("__y", "prediction", vector_to_array("probability").alias("p")))
+        shared = df.sparkSession.sparkContext.broadcast(self.forest)
+        trees, depth = self.trees, self.depth
+
+        @F.pandas_udf("array<double>")
+        def vote(x: pd.Series) -> pd.Series:
+            return pd.Series(list(shared.value.predict(np.asarray(x.tolist(), float), trees, depth)))
+
+        rows = label_index(df, spec.label, self.classes)
+        p = vote(F.array(*[F.col(f).cast("double") for f in self.feats]))
+        scored = cut_lineage(rows.select("__y", p.alias("p")))
+        best = F.array_position("p", F.array_max("p")).cast("double") - 1
+        scored = scored.withColumn("prediction", best)
         acc = accuracy(scored, "__y").first()[0]
         auc = ovo_auc(scored, "__y", "p", [float(i) for i in range(len(self.classes))]).first()[0]
         return acc, auc
 
 
-def search_forest(df: DataFrame, spec: TableSpec, trees, depths, folds: int = FOLDS, seed: int = 0,
-                  parallelism: int = 4) -> ForestSearch:
-    """Every grid point over stratified folds, the best by accuracy refitted on all rows.
-
-    Only the features are used; of equal points the first wins.
+def _grid_hits(rows: DataFrame, forests: dict, held_out, trees, depths) -> dict:
+    """{model: (rows, hits (trees, depths))} over the rows that a model's ``held_out`` array names, in one scan."""
+    shared = rows.sparkSession.sparkContext.broadcast(forests)
+
+    def judge(batches):
+        found = {}
+        for pdf in batches:
+            x, c = np.asarray(pdf["x"].tolist(), float), pdf["c"].to_numpy()
+            owner = np.repeat(np.arange(len(pdf)), [len(o) for o in pdf["out"]])
+            number = np.concatenate([*pdf["out"], []]).astype(int)
+            for m in np.unique(number):
+                at = owner[number == m]
+                said = shared.value[int(m)].votes(x[at], trees, depths).argmax(3)
+                n, hits = found.get(m, (0, 0))
+                found[m] = (n + len(at), hits + (said == c[at]).sum(2))
+        for m, (n, hits) in found.items():
+            yield pd.DataFrame({"m": [int(m)], "n": [n], "hits": [hits.ravel().tolist()]})
+
+    got: dict = {}
+    for r in rows.select("x", "c", held_out.alias("out")).mapInPandas(judge, "m int, n long, hits array<long>").collect():
+        n, hits = got.get(r.m, (0, 0))
+        got[r.m] = (n + r.n, hits + np.array(r.hits).reshape(len(trees), len(depths)))
+    return got
+
+
+def search_forests(df: DataFrame, spec: TableSpec, parts: dict, trees, depths, folds: int = FOLDS,
+                   seed: int = 0) -> dict[int, ForestSearch]:
+    """A grid search for each of ``parts`` (number: condition that its rows meet), all in lock-step.
+
+    A node's split depends on its rows and a draw of tree and node alone, so the forest of the most trees and the
+    greatest depth holds every grid point. One forest is grown per part and fold, and one on all rows of a part; the votes of every
+    grid point are read off while a row goes down. Of equal points the first wins (depths first, then trees).
     """
-    classes = class_list(df, spec.label)
-    data = stratified_folds(df.select(*spec.columns), spec, folds, seed, "__fold")
-    data = assemble(label_index(data, spec.label, classes), spec.feats)
-    data = cut_lineage(data.select("features", "__y", (F.col("__fold") - 1).alias("__fold")))
-    forest = RandomForestClassifier(labelCol="__y", featuresCol="features", seed=seed)
-    grid = (ParamGridBuilder().addGrid(forest.maxDepth, list(depths))
-            .addGrid(forest.numTrees, list(trees)).build())
-    judge = MulticlassClassificationEvaluator(labelCol="__y", metricName="accuracy")
-    search = CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=judge, numFolds=folds,
-                            foldCol="__fold", parallelism=parallelism, seed=seed)
-    found = search.fit(data)
-    at = max(range(len(grid)), key=lambda i: (found.avgMetrics[i], -i))
-    best = found.bestModel
-    return ForestSearch(best, grid[at][forest.numTrees], grid[at][forest.maxDepth],
-                        float(found.avgMetrics[at]), classes)
+    classes, feats = class_list(df, spec.label), list(spec.feats)
+    trees, depths = sorted(trees), sorted(depths)
+    data = label_index(df, spec.label, classes)
+    for number, inside in parts.items():
+        own = stratified_folds(data.where(inside).select(spec.key, spec.label), spec.with_feats(()), folds, seed, f"__f{number}")
+        data = data.join(own.select(spec.key, f"__f{number}"), spec.key, "left")
+    data = cut_lineage(data.select(spec.key, *feats, F.col("__y").cast("int").alias("__y"), *[f"__f{n}" for n in parts]))
+    at = {(n, f): i * (folds + 1) + f for i, n in enumerate(parts) for f in range(folds + 1)}  # fold 0: all rows
+    member = F.array_compact(F.array(*[F.when(F.col(f"__f{n}").isNotNull() & (F.col(f"__f{n}") != f), m)
+                                       for (n, f), m in at.items()]))
+    held_out = F.array_compact(F.array(*[F.when(F.col(f"__f{n}") == f, m) for (n, f), m in at.items() if f]))
+    rows = forest_rows(data, feats, spec.key, member, "__y")
+    growth = Growth("RF", max(trees), max(depths), seed=seed, subset=max(1, round(len(feats) ** 0.5)))
+    specs = [ModelSpec(m, tuple(range(len(feats))), classes=len(classes)) for m in at.values()]
+    forests = fit_models(rows, specs, growth, bin_edges(data, feats))
+    judged = data.select(F.array(*[F.col(c).cast("double") for c in feats]).alias("x"), F.col("__y").alias("c"),
+                         *[f"__f{n}" for n in parts])
+    hits = _grid_hits(judged, forests, held_out, trees, depths)
+    out = {}
+    for n in parts:
+        shares = [hits[at[n, f]][1] / hits[at[n, f]][0] for f in range(1, folds + 1) if at[n, f] in hits and at[n, f] in forests]
+        mean = np.mean(shares, axis=0)
+        best = max(((d, t) for d in range(len(depths)) for t in range(len(trees))), key=lambda p: (mean[p[1], p[0]], -p[0], -p[1]))
+        out[n] = ForestSearch(forests[at[n, 0]], trees[best[1]], depths[best[0]], float(mean[best[1], best[0]]), classes, feats)
+    return out
+
+
+def search_forest(df: DataFrame, spec: TableSpec, trees, depths, folds: int = FOLDS, seed: int = 0) -> ForestSearch:
+    """Every grid point over stratified folds, the best by accuracy on all rows. Only the features are used."""
+    return search_forests(df, spec, {0: F.lit(True)}, trees, depths, folds, seed)[0]
 
 
 def nested_cv(df: DataFrame, spec: TableSpec, trees=NESTED_GRID[0], depths=NESTED_GRID[1],
-              outer: int = FOLDS, inner: int = FOLDS, seed: int = 0, parallelism: int = 4) -> dict:
-    """Grid search inside each outer train part, scored on the part left out, averaged."""
+              outer: int = FOLDS, inner: int = FOLDS, seed: int = 0) -> dict:
+    """Grid search inside each outer train part, scored on the part left out, averaged; all searches share their scans."""
     folded = cut_lineage(stratified_folds(df, spec, outer, seed, "__outer"))
+    parts = {f: F.col("__outer") != f for f in range(1, outer + 1)}
     accs, aucs = [], []
-    for f in range(1, outer + 1):
-        found = search_forest(folded.where(F.col("__outer") != f), spec, trees, depths, inner, seed, parallelism)
+    for f, found in search_forests(folded, spec, parts, trees, depths, inner, seed).items():
         acc, auc = found.score(folded.where(F.col("__outer") == f), spec)
         accs.append(acc)
         aucs.append(auc)
@@ -93,8 +146,7 @@ def nested_cv(df: DataFrame, spec: TableSpec, trees=NESTED_GRID[0], depths=NESTE
 
 
 def holdout_cv(train: DataFrame, test: DataFrame, spec: TableSpec, trees=HOLDOUT_GRID[0],
-               depths=HOLDOUT_GRID[1], folds: int = FOLDS, seed: int = 0, parallelism: int = 4,
-               resample: bool = False) -> dict:
+               depths=HOLDOUT_GRID[1], folds: int = FOLDS, seed: int = 0, resample: bool = False) -> dict:
     """Grid search on the imputed train table, scored on the held-out fold.
 
     ``resample`` balances the classes of the train table first.
@@ -102,7 +154,7 @@ def holdout_cv(train: DataFrame, test: DataFrame, spec: TableSpec, trees=HOLDOUT
     data = train.select(*spec.columns)
     if resample:
         data = cut_lineage(adasyn(data, spec, seed=seed))
-    found = search_forest(data, spec, trees, depths, folds, seed, parallelism)
+    found = search_forest(data, spec, trees, depths, folds, seed)
     acc, auc = found.score(test, spec)
     return {"accuracy": acc, "auc": auc, "trees": found.trees, "depth": found.depth,
             "cv_accuracy": found.cv_accuracy}

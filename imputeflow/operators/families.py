@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from imputeflow.operators.extratrees import ExtraTreesRegressor
+from imputeflow.operators.forests import Forest, Growth, ModelSpec, bin_edges, fit_models, forest_rows, predicted
 from imputeflow.operators.linear import LINEAR_FITS, moments
-from imputeflow.operators.stats import assemble
 
 # Fixed value: tree families are tried from this missing rate on.
 TREES_FROM_RATE = 0.20
@@ -40,7 +38,7 @@ class LinearRegressor:
     def __init__(self, name: str):
         self.name = name
 
-    def fit(self, df: DataFrame, xs: list[str], y: str) -> "LinearModel":
+    def fit(self, df: DataFrame, xs: list[str], y: str, **known) -> "LinearModel":
         shift = df.agg(*[F.avg(c).alias(c) for c in [*xs, y]]).first().asDict()
         m = moments(df, [F.col(c) - F.lit(shift[c]) for c in [*xs, y]])[()]
         fit = LINEAR_FITS[self.name](m, len(xs) + 1, list(range(1, len(xs) + 1)))
@@ -60,35 +58,41 @@ class LinearModel:
     def std(self):
         return self.fit.spread(self._centred())
 
-    def add_prediction(self, df: DataFrame, out: str) -> DataFrame:
+    def add_prediction(self, df: DataFrame, out: str, where=None) -> DataFrame:
         return df.withColumn(out, self.value())
 
 
+def growth_for(name: str, sizes: TreeSizes, seed: int, members: int = 1) -> Growth:
+    """How a family's trees grow; an ensemble's members are shares of one forest (boosted members are all alike)."""
+    if name == "GB":
+        return Growth("GB", sizes.gb_rounds, sizes.gb_depth, sizes.min_leaf, sizes.gb_step, seed)
+    trees = sizes.et_trees if name == "ET" else sizes.rf_trees
+    return Growth(name, trees * members, sizes.max_depth, sizes.min_leaf, seed=seed)
+
+
 class TreeRegressor:
+    """A tree family on one target; ``edges`` and ``size`` (rows, largest target) can be given where they are known."""
+
     def __init__(self, name: str, sizes: TreeSizes, seed: int):
         self.name, self.sizes, self.seed = name, sizes, seed
 
-    def fit(self, df: DataFrame, xs: list[str], y: str):
-        s = self.sizes
-        if self.name == "ET":
-            return ExtraTreesRegressor(s.et_trees, s.max_depth, max(2, 2 * s.min_leaf), self.seed).fit(df, xs, y)
-        common = dict(featuresCol="__x", labelCol=y, predictionCol="__y", seed=self.seed,
-                      minInstancesPerNode=s.min_leaf)
-        if self.name == "RF":
-            ml = RandomForestRegressor(numTrees=s.rf_trees, maxDepth=s.max_depth,
-                                       featureSubsetStrategy="all", **common)
-        else:
-            ml = GBTRegressor(maxIter=s.gb_rounds, stepSize=s.gb_step, maxDepth=s.gb_depth, **common)
-        return TreeModel(ml.fit(assemble(df.select(*xs, y), xs, "__x")), xs)
+    def fit(self, df: DataFrame, xs: list[str], y: str, key: str | None = None, edges=None, size=None) -> "TreeModel":
+        cols = [*xs, y]
+        edges = bin_edges(df, cols) if edges is None else edges
+        spec = ModelSpec(0, tuple(range(len(xs))), len(xs))
+        found = fit_models(forest_rows(df, cols, key), [spec], growth_for(self.name, self.sizes, self.seed), edges,
+                           size and {0: size})
+        return TreeModel(found[0], xs)
 
 
 class TreeModel:
-    def __init__(self, ml, xs):
-        self.ml, self.xs = ml, list(xs)
+    def __init__(self, forest: Forest, xs):
+        self.forest, self.xs = forest, list(xs)
 
-    def add_prediction(self, df: DataFrame, out: str) -> DataFrame:
-        scored = self.ml.transform(assemble(df, self.xs, "__x"))
-        return scored.withColumnRenamed("__y", out).drop("__x")
+    def add_prediction(self, df: DataFrame, out: str, where=None) -> DataFrame:
+        """The prediction for the rows in ``where`` (all rows without it), null for others."""
+        said = predicted(df.sparkSession, {0: self.forest}, self.xs, F.lit(0), F.lit(True) if where is None else where)
+        return df.withColumn(out, said["mean"])
 
 
 def make_regressor(name: str, sizes: TreeSizes = TreeSizes(), seed: int = 0):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from imputeflow.functions.scalars import rounds_for_rate_value, total
 from imputeflow.operators.families import LINEAR, TreeSizes, families_for_rate, make_regressor
+from imputeflow.operators.forests import bin_edges
 from imputeflow.operators.linear import LINEAR_FITS
 from imputeflow.operators.patterns import (
     MAX_PATTERN_COLS, PatternMoments, filled_moments, largest_known, pattern_transform, round_changes,
@@ -53,7 +54,7 @@ class ChainedImputer(Imputer):
         cols, holes, known, by_pattern = self._plan(df)
         if by_pattern:
             return self._fit_patterns(df, cols, holes).transform(df)
-        return self._fit_stepwise(df, cols, holes, known)[1]
+        return self._fit_stepwise(df, cols, holes, known, keep=False)[1]
 
     # ---- linear families: one scan ----
 
@@ -83,8 +84,15 @@ class ChainedImputer(Imputer):
 
     # ---- any family: one fit per round and column ----
 
-    def _fit_stepwise(self, df, cols, holes, known):
+    def _fit_stepwise(self, df, cols, holes, known, keep=True):
+        """The chain's models (none of them unless ``keep``) and the filled table. Trees share the bins of the known cells."""
         key = self.spec.key
+        edges, sizes = None, {}
+        if self.family not in LINEAR and holes:
+            edges = bin_edges(df, cols)
+            row = df.agg(*[F.count(h).alias(f"n_{h}") for h in holes],
+                         *[F.max(F.abs(F.col(h))).cast("double").alias(f"m_{h}") for h in holes]).first()
+            sizes = {h: (row[f"n_{h}"], row[f"m_{h}"]) for h in holes}
         state = df.withColumns({f"__gone_{h}": F.col(h).isNull() for h in holes})
         state = state.withColumns({c: F.coalesce(F.col(c), F.lit(known[c])) for c in cols})
         limit = self.tol * largest_known(df, cols) if self.tol and holes else None
@@ -93,10 +101,12 @@ class ChainedImputer(Imputer):
             state = state.withColumns({f"__was_{h}": F.col(h) for h in holes})
             for h in holes:
                 xs = [c for c in cols if c != h]
+                own = None if edges is None else edges[[cols.index(c) for c in [*xs, h]]]
                 model = make_regressor(self.family, self.sizes, self.seed).fit(
-                    state.where(~F.col(f"__gone_{h}")), xs, h)
-                chain.append((h, model))
-                state = model.add_prediction(state, "__pred")
+                    state.where(~F.col(f"__gone_{h}")), xs, h, key=key, edges=own, size=sizes.get(h))
+                if keep:
+                    chain.append((h, model))
+                state = model.add_prediction(state, "__pred", F.col(f"__gone_{h}"))
                 state = state.withColumn(h, F.when(F.col(f"__gone_{h}"), F.col("__pred"))
                                          .otherwise(F.col(h))).drop("__pred")
                 if self.family not in LINEAR:
@@ -144,7 +154,7 @@ class StepChainModel:
         for n, (h, model) in enumerate(self.chain):
             if n and n % len(holes) == 0 and not df.isStreaming:
                 state = rolling.cut(state)
-            state = model.add_prediction(state, "__pred")
+            state = model.add_prediction(state, "__pred", F.col(f"__gone_{h}"))
             state = state.withColumn(h, F.when(F.col(f"__gone_{h}"), F.col("__pred"))
                                      .otherwise(F.col(h))).drop("__pred")
         return state.select(*df.columns)

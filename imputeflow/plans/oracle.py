@@ -452,10 +452,15 @@ def oracle_sql() -> dict[str, str]:
     q["mice_lr_rounds"] = query([*m_z, *chain(3)], table_of("imp", W))
 
     empty = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in W)
-    for name, imps in (("linear_facts", "lr br svd mf column cluster uncertain"), ("tree_facts", "rf gb et")):
+    plain = ("p", "SELECT " + cols("avg({c}) AS a{i}", W) + " FROM m")
+    wrong = " + ".join(f"sum(CASE WHEN m.{c} IS NULL THEN (z.{c} - p.a{i}) * (z.{c} - p.a{i}) ELSE 0.0{D} END)" for i, c in enumerate(W))
+    holes = " + ".join(f"count(*) FILTER (m.{c} IS NULL)" for c in W)
+    fill_error = ("e", f"SELECT sqrt(({wrong}) / ({holes})) AS rmse FROM z JOIN m USING (row_id), p")
+    for name, imps in (("linear_facts", "lr br svd mf column cluster uncertain"), ("tree_facts", "rf gb et column")):
         listed = ", ".join(f"'{i}'" for i in imps.split())
-        q[name] = query([*m_z, ("f", f"SELECT count(*) AS n, CAST({empty} AS BIGINT) AS n_gaps FROM m")],
-                        f"SELECT unnest([{listed}]) AS imp, n, n_gaps, 0::BIGINT AS n_moved, 0::BIGINT AS n_left, TRUE AS near FROM f")
+        q[name] = query([*m_z, ("f", f"SELECT count(*) AS n, CAST({empty} AS BIGINT) AS n_gaps FROM m"), plain, fill_error],
+                        f"SELECT unnest([{listed}]) AS imp, n, n_gaps, 0::BIGINT AS n_moved, 0::BIGINT AS n_left, "
+                        f"{r('rmse', 6)} AS mean_rmse, TRUE AS near FROM f, e")
 
     q["knn_join"] = query([RAW_EMB, neighbours("emb", "emb", 3, "nn")], f"SELECT row_id, dk, rank::INTEGER AS rank, {r('dist', 6)} AS dist FROM nn")
     q["knn_join_in_class"] = query([RAW_EMB3, neighbours("emb", "emb", 5, "nn", True)], f"SELECT row_id, dk, rank::INTEGER AS rank, {r('dist', 6)} AS dist FROM nn")

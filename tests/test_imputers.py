@@ -7,7 +7,6 @@ from imputeflow.operators.adaptive import (
     ClusteredImputer, ClusterMetaColumnAdaptiveImputer, ColumnAdaptiveImputer, PolicyChoice,
 )
 from imputeflow.operators.cluster import CentroidClusterer, fit_fuzzy_cmeans, silhouette, silhouette_squared
-from imputeflow.operators.extratrees import ExtraTreesRegressor
 from imputeflow.operators.families import TreeSizes, families_for_rate
 from imputeflow.operators.linear import fit_br, fit_lr, moments
 from imputeflow.operators.lowrank import FactorImputer, SvdImputer
@@ -100,11 +99,20 @@ def test_tree_chains(truth, gaps, family):
     assert rmse(truth, gaps, got) < rmse(truth, gaps, SimpleImputer(SPEC).fit_transform(gaps))
 
 
-def test_extra_trees_fit_a_step(spark):
-    df = spark.createDataFrame([(float(i), 0.0, 1.0 if i > 50 else 0.0) for i in range(100)], "x double, z double, y double")
-    model = ExtraTreesRegressor(10, 8, 2, 1).fit(df, ["x", "z"], "y")
-    got = model.add_prediction(df, "p").toPandas()
-    assert ((got.p - got.y) ** 2).mean() < 0.01
+@pytest.mark.parametrize("family", ["RF", "GB", "ET"])
+def test_adaptive_imputer_with_tree_members_to_the_end(truth, gaps, family):
+    """Policy, forests per cluster and column, filled cells and their std."""
+    sizes = TreeSizes(rf_trees=6, et_trees=6, gb_rounds=15, gb_step=0.3, max_depth=5)
+    clusters = CentroidClusterer(SPEC.feats, [[-1, -1, 0, 0], [1, 1, 0, 0]])
+    policy = {(0.2, j): family if j != 2 else "LR" for j in range(4)}
+    got = ClusteredImputer(SPEC, clusters, None, policy, sizes=sizes, n_ensemble=3).fit_transform(gaps)
+    pdf, masked, full = frame(got), frame(gaps), frame(truth)
+    assert rmse(truth, gaps, got) < 0.7 * rmse(truth, gaps, SimpleImputer(SPEC).fit_transform(gaps))
+    for j, f in enumerate(SPEC.feats):
+        known = masked[f].notna()
+        assert (pdf[f][known] == full[f][known]).all() and not pdf[f].isna().any()
+        spread = pdf[f"{f}_std"]
+        assert (spread[known] == 0).all() and ((spread[~known] > 0).any() == (family != "GB" and j != 2))
 
 
 def test_low_rank_paths_agree(truth, gaps):

@@ -34,16 +34,13 @@ def handed(monkeypatch):
     return run
 
 
-@pytest.mark.parametrize("query", ["rate_adaptive", "cluster_adaptive", "meta_column_adaptive", "cluster_meta_adaptive",
-                                   "meta_select", "meta_cv", "method_comparison", "method_report"])
+@pytest.mark.parametrize("query", ["family_scores", "method_comparison", "method_report"])
 def test_policies_learn_from_every_scenario_and_family(handed, spark, sf_dir, query):
     args, named = handed(policy, "score_families", query, spark, sf_dir)
     assert set(args[1]) == ALL and not {"only", "sizes"} & set(named) and len(args) == 3
 
 
 def test_selector_has_its_studied_size(handed, spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(queries, "_family_scores", lambda s, d: spark.createDataFrame(
-        [(0.1, "LR", 0, 1.0)], "rate double, imp string, col int, rmse_std double"))
     made = policy.MetaSelector.__init__
     seen = []
     monkeypatch.setattr(policy.MetaSelector, "__init__", lambda self, *a, **k: (made(self, *a, **k), seen.append(self))[0])
@@ -81,5 +78,12 @@ class Same:
         return df
 
 
+def test_given_policies_name_every_family():
+    every = {"LR", "BR", "RF", "ET", "GB"}
+    assert set(queries.BY_RATE) == set(MISSING_RATES) and set(queries.BY_RATE.values()) == every
+    assert set(queries.BY_RATE_COL) == {(r, j) for r in MISSING_RATES for j in range(8)}
+    assert {imp for (r, _), imp in queries.BY_RATE_COL.items() if r == 0.2} == every
+
+
 def test_defaults_are_the_studied_sizes():
     assert TreeSizes().rf_trees == 300 and TreeSizes().gb_rounds == 200
