@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imputeflow.functions.scalars import nan_to_null, sentinel_to_null
@@ -30,17 +30,30 @@ def read_features_parquet(spark: SparkSession, path: str, spec: TableSpec) -> Da
     return df.select(spec.key, *feats, *([spec.label] if spec.label else []))
 
 
-def with_row_key(df: DataFrame, key: str = "row_id") -> DataFrame:
+COPIES_PER_TASK = 1 << 20
+
+
+def with_row_key(df: DataFrame, key: str = "row_id", copies: int = COPIES_PER_TASK) -> DataFrame:
     """Give rows of a table without a key one: a digest of the row and a number among equal rows.
 
-    The same rows get the same keys however the table is partitioned. Equal rows are alike in everything, so it
-    doesn't matter which of them has which number.
+    The same rows get the same keys however the table is partitioned. Equal rows are alike in everything, so they are
+    counted (each task sends one of them) and made again with their numbers, ``copies`` of them in a task at most.
     """
-    texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\\N")) for c in df.columns]
-    digest = F.md5(F.concat_ws("\x1f", *texts))
-    number = F.row_number().over(Window.partitionBy("__digest").orderBy(F.lit(0)))
-    named = df.withColumn("__digest", digest).withColumn("__number", number)
-    return named.select(F.concat_ws("#", "__digest", F.col("__number").cast("string")).alias(key), *df.columns)
+    nested = ("array", "map", "struct")
+    texts = [F.to_json(F.struct(F.col(f"`{c}`"))) if kind.startswith(nested) else F.col(f"`{c}`").cast("string")
+             for c, kind in df.dtypes]
+    # with its length in front of each text, only equal rows have equal texts
+    marked = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    named = df.select(F.md5(F.concat(*marked)).alias("digest"),
+                      F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    counted = named.groupBy("digest").agg(F.first("row").alias("row"), F.count("*").alias("n"))
+    few = counted.where(F.col("n") <= copies).select("digest", "row", F.lit(0).cast("long").alias("part"), "n")
+    many = counted.where(F.col("n") > copies).select(
+        "digest", "row", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {copies}"))).alias("part"), "n")
+    parts = few.unionByName(many.repartition("digest", "part"))
+    first = F.col("part") * copies + 1
+    made = parts.select("digest", "row", F.explode(F.sequence(first, F.least(first + copies - 1, F.col("n")))).alias("number"))
+    return made.select(F.concat_ws("#", "digest", F.col("number").cast("string")).alias(key), "row.*")
 
 
 def append_metrics(metrics: DataFrame, path: str) -> None:

@@ -155,3 +155,45 @@ def test_rounds_leave_two_tables_at_most(spark, tmp_path, monkeypatch):
     assert len(list(tmp_path.glob("round-*"))) <= 1
     assert model.transform(frame(spark, rows)).where("a is null or b is null").count() == 0
     assert len(list(tmp_path.glob("round-*"))) <= 2
+
+
+def test_equal_rows_are_numbered_in_parts(spark):
+    """A row that repeats very often is no single task's work, and rows that only look alike stay apart."""
+    rows = [(1.5, "a", None)] * 50 + [(1.5, "a", "-")] * 3 + [(-0.0, "", "x")] * 2 + [(0.0, "", "x"), (None, None, None)]
+    df = spark.createDataFrame(rows, "v double, s string, t string").repartition(5)
+    got = with_row_key(df, copies=8)
+    assert got.columns == ["row_id", "v", "s", "t"]
+    found = got.collect()
+    assert len({r.row_id for r in found}) == len(rows)
+    assert sorted(map(repr, (tuple(r)[1:] for r in found))) == sorted(map(repr, rows))
+    assert {r.row_id for r in found} == {r.row_id for r in with_row_key(df.repartition(2)).collect()}
+    assert with_row_key(df.limit(0)).count() == 0
+
+
+def test_a_missing_requirement_is_not_hidden(monkeypatch):
+    """Only the absence of the pipeline itself is passed over."""
+    import builtins
+    import importlib
+    import sys
+
+    import __spark_entry__ as entry
+
+    def importing(missing):
+        real = builtins.__import__
+
+        def fake(name, *args, **named):
+            if name == "corpus_pipeline":
+                raise ModuleNotFoundError(f"No module named {missing!r}", name=missing)
+            return real(name, *args, **named)
+
+        monkeypatch.delitem(sys.modules, "corpus_pipeline", raising=False)
+        monkeypatch.setattr(builtins, "__import__", fake)
+        try:
+            return importlib.reload(entry)
+        finally:
+            monkeypatch.setattr(builtins, "__import__", real)
+
+    with pytest.raises(ModuleNotFoundError):
+        importing("zstandard")
+    assert "flagship" in importing("corpus_pipeline").queries()
+    importlib.reload(entry)
