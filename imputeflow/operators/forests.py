@@ -463,26 +463,35 @@ def _grow_large(df: DataFrame, spec: ModelSpec, scale: float, growth: Growth, ed
             wanted[t] = np.array(sorted(h for u, h in small if u == t))
 
         def send(batches):
+            """The rows of a batch that sit in a small node, as one block per node."""
             for batch in batches:
                 k, _, _, codes, q = prepared(batch)
+                found = []
                 for t, ids in wanted.items():
                     heap = places(codes, t, cuts[t])
                     at = np.minimum(np.searchsorted(ids, heap), len(ids) - 1)
                     w = weights_of(growth, t, k)
                     here = np.flatnonzero((ids[at] == heap) & (w > 0))
-                    yield pa.RecordBatch.from_pydict({
-                        "tree": pa.array(np.full(len(here), t), pa.int32()), "heap": pa.array(heap[here], pa.int64()),
-                        "w": pa.array(w[here]), "q": pa.array(list(q[:, here].T), pa.list_(pa.float64())),
-                        "codes": pa.array([b.tobytes() for b in codes[:, here].T], pa.binary())})
+                    here = here[np.argsort(at[here], kind="stable")]
+                    stops = np.flatnonzero(np.diff(at[here])) + 1
+                    for part in np.split(here, stops) if len(here) else []:
+                        found.append((t, int(heap[part[0]]), len(part), w[part].tobytes(), codes.take(part, axis=1).tobytes(),
+                                      q.take(part, axis=1).tobytes()))
+                yield pa.RecordBatch.from_pylist([dict(zip(("tree", "heap", "n", "w", "codes", "q"), f, strict=True))
+                                                  for f in found], schema=block)
+
+        block = pa.schema([("tree", pa.int32()), ("heap", pa.int64()), ("n", pa.int32())] + [
+            (c, pa.binary()) for c in ("w", "codes", "q")])
 
         def finish(key, pdf):
-            codes = np.frombuffer(b"".join(pdf["codes"]), np.uint8).reshape(len(pdf), -1).T
-            q = np.stack(pdf["q"].to_numpy()).T
-            got, _ = grow(codes, q, pdf["w"].to_numpy(), own, growth, int(key[0]), int(key[1]))
+            codes = np.concatenate([np.frombuffer(b, np.uint8).reshape(-1, n) for b, n in zip(pdf["codes"], pdf["n"])], 1)
+            q = np.concatenate([np.frombuffer(b).reshape(-1, n) for b, n in zip(pdf["q"], pdf["n"])], 1)
+            w = np.concatenate([np.frombuffer(b) for b in pdf["w"]])
+            got, _ = grow(codes, q, w, own, growth, int(key[0]), int(key[1]))
             return pd.DataFrame([(spec.model, key[0], *_blob(got))],
                                 columns=["model", "tree", "heap", "feat", "cut", "value"])
 
-        for r in rows.mapInArrow(send, "tree int, heap long, w double, q array<double>, codes binary").groupBy(
+        for r in rows.mapInArrow(send, "tree int, heap long, n int, w binary, codes binary, q binary").groupBy(
                 "tree", "heap").applyInPandas(finish, TREE_SCHEMA).collect():
             records[r.tree].append(_unblob(r, width))
     return {t: tuple(np.concatenate([r[i] for r in got]) for i in range(4)) for t, got in records.items()}
