@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from imputeflow.operators import amputate as amp  # noqa: E402
-from imputeflow.operators import metrics, resample, stats  # noqa: E402
+from imputeflow.operators import forests, metrics, resample, stats  # noqa: E402
 from imputeflow.operators.adaptive import ClusteredImputer, ColumnAdaptiveImputer  # noqa: E402
 from imputeflow.operators.cluster import CentroidClusterer, silhouette_squared, squared_distance  # noqa: E402
 from imputeflow.operators.families import TreeSizes  # noqa: E402
@@ -73,6 +73,9 @@ def main() -> None:
     timed("svd_impute", lambda: force(SvdImputer(WIDE8, 4).fit_transform(gaps)))
     timed("rf_mice_1_round", lambda: force(ChainedImputer(
         WIDE8, "RF", 1, sizes=TreeSizes(rf_trees=10, max_depth=5)).fit_transform(gaps)))
+    timed("forest_40_trees", lambda: forests.fit_models(
+        forests.forest_rows(z, feats, "row_id"), [forests.ModelSpec(0, tuple(range(7)), 7)],
+        forests.Growth("RF", 40, 8), forests.bin_edges(z, feats)))
     tagged = CentroidClusterer(feats, centers).assign(z).persist()
     timed("silhouette_squared", lambda: silhouette_squared(tagged, feats))
     closeness = F.array(*[1 / (1 + squared_distance(feats, c)) for c in centers])
