@@ -126,10 +126,9 @@ class PatternChainModel:
     def __init__(self, pm: PatternMoments, chain, rounds: int):
         self.cols, self.holes, self.means = pm.cols, pm.holes, pm.means
         self.chain, self.rounds = chain, rounds
-        self._start = pm.start_maps
 
     def maps_for(self, patterns) -> np.ndarray:
-        maps = self._start(patterns)
+        maps = PatternMoments(self.cols, self.holes, self.means, {}).start_maps(patterns)
         for i, t, others, f in self.chain:
             gone = (np.asarray(patterns) >> i & 1).astype(bool)
             maps[gone, t, :] = np.einsum("a,mab->mb", f.coef, maps[gone][:, others, :])

@@ -450,6 +450,7 @@ def oracle_sql() -> dict[str, str]:
     q["lr_impute"] = query([*m_z, *column_wise()], table_of("imp", W))
     q["mice_lr_1round"] = query([*m_z, *chain(1)], table_of("imp", W))
     q["mice_lr_rounds"] = query([*m_z, *chain(3)], table_of("imp", W))
+    q["saved_model"] = q["mice_lr_rounds"]
 
     empty = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in W)
     plain = ("p", "SELECT " + cols("avg({c}) AS a{i}", W) + " FROM m")

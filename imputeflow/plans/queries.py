@@ -23,6 +23,7 @@ from imputeflow.operators.mice import ChainedImputer, chained_imputers_for_rate,
 from imputeflow.operators.orderstat import exact_quantiles
 from imputeflow.operators.simple import SimpleImputer, complete_cases
 from imputeflow.operators.split import read_fold, stratified_folds, write_folds
+from imputeflow.operators.stages import ImputerStage, ImputerStageModel
 from imputeflow.plans import classic, compare, policy
 from imputeflow.session import ensure_checkpoint_dir, side_by_side, small_table
 from imputeflow.spec import TableSpec
@@ -298,6 +299,14 @@ def _chain(rounds):
     return run
 
 
+def saved_model(spark, sf):
+    """A fitted chain, saved to the shared folder, read again and applied."""
+    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    gaps = _wide_gaps(spark, sf)
+    ImputerStage(ChainedImputer(WIDE8, "LR", 3, tol=None, order="roman")).fit(gaps).save(path)
+    return _rounded(ImputerStageModel.load(path).transform(gaps), WIDE8)
+
+
 def lr_impute(spark, sf):
     return _rounded(ColumnAdaptiveImputer(WIDE8, {}).fit_transform(_wide_gaps(spark, sf)), WIDE8)
 
@@ -600,7 +609,7 @@ def queries() -> dict:
         "best_by_rate_col": lambda s, d: _round_cols(policy.best_by_rate_col(_scores(s, d)), ["score"]),
         "policy_lookup": policy_lookup, "meta_features": meta_features,
         # chained and adaptive imputers
-        "lr_impute": lr_impute, "mice_lr_1round": _chain(1), "mice_lr_rounds": _chain(3),
+        "lr_impute": lr_impute, "mice_lr_1round": _chain(1), "mice_lr_rounds": _chain(3), "saved_model": saved_model,
         "mice_lr": _on_wide(lambda s, d: ChainedImputer(WIDE8, "LR", 5, order="roman")),
         "mice_br": _on_wide(lambda s, d: ChainedImputer(WIDE8, "BR", 10)),
         "mice_rf": _on_wide(lambda s, d: classic_imputer(WIDE8, "RF")),
