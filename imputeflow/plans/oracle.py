@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from imputeflow.functions.hashing import hash_uniform_sql, key_numbers_sql
+from imputeflow.functions.scalars import MISSING_RATES
 from imputeflow.sources.tables import EMB, WIDE8
 
 W = WIDE8.feats
 E = EMB.feats
-RATES = (0.1, 0.3, 0.5)
+RATES = MISSING_RATES
 D = "::DOUBLE"
 
 
@@ -81,8 +82,9 @@ def mar_tail(src: str, feats, rate: float, out: str = "m") -> list[tuple[str, st
     for i, c in enumerate(feats):
         hit = " OR ".join(f"{o} < lo{j} OR {o} > hi{j}" for j, o in enumerate(feats) if j != i)
         parts.append(f"CASE WHEN {hit} THEN NULL ELSE {c} END AS {c}")
-    return tails(src, feats, f"({rate}{D} / {share})", f"(1 - {rate}{D} / {share})") + [
-        (out, f"SELECT row_id, label, {', '.join(parts)} FROM {src}, q")]
+    named = [(n + f"_{out}", b.replace("FROM srt", f"FROM srt_{out}"))
+             for n, b in tails(src, feats, f"({rate}{D} / {share})", f"(1 - {rate}{D} / {share})")]
+    return named + [(out, f"SELECT row_id, label, {', '.join(parts)} FROM {src}, q_{out}")]
 
 
 def exact_count(src: str, feats, probs: dict, rate: float, seed: int, out: str = "m") -> list[tuple[str, str]]:
@@ -175,10 +177,10 @@ def cell_scores(truth: str, masked: str, imputed: str, feats) -> str:
 def score_ctes() -> list[tuple[str, str]]:
     ctes = [RAW_WIDE, *scaled("wide", W)]
     parts = []
-    for mech in ("mcar", "mnar"):
+    for mech in ("mcar", "mar", "mnar"):
         for k, rate in enumerate(RATES):
             m = f"{mech}{k}"
-            ctes += mcar("z", W, rate, m) if mech == "mcar" else mnar_tail("z", W, rate, m)
+            ctes += {"mcar": mcar, "mar": mar_tail, "mnar": mnar_tail}[mech]("z", W, rate, m)
             for imp, agg in (("mean", "avg({c})"), ("median", "median({c})")):
                 ctes += fill(m, W, agg, f"{m}_{imp}")
                 parts.append(f"SELECT '{mech}' AS mech, {rate}{D} AS rate, '{imp}' AS imp, col, rmse FROM ("
@@ -434,10 +436,9 @@ def oracle_sql() -> dict[str, str]:
     q["append_metrics"] = query(sc, f"SELECT mech, imp, count(*) AS n, {r('avg(rmse)', 6)} AS rmse FROM scores GROUP BY mech, imp")
     q["best_by_rate"] = query(sc, f"SELECT rate, imp, {r('score', 6)} AS score FROM (" + best("rate", "rmse") + ")")
     q["best_by_rate_col"] = query(sc, f"SELECT rate, col, imp, {r('score', 6)} AS score FROM (" + best("rate, col", "rmse_std") + ")")
-    look = [*sc, *[(n.replace("m_", "lk_").replace("q", "lq") if n in ("q",) else n, b) for n, b in mar_tail("z", W, 0.2, "lm")],
+    look = [*sc, *mar_tail("z", W, 0.2, "lm"),
             ("ml", missing_long("lm", W, "label")), ("asked", f"SELECT label, col_idx, {closest('rate')} AS rate_bin FROM ml"),
             ("bc", best("rate, col", "rmse_std")), ("br", best("rate", "rmse"))]
-    look = [(n, b.replace(", q", ", lq") if n == "lm" else b) for n, b in look]
     q["policy_lookup"] = query(look, "SELECT a.label, a.col_idx, a.rate_bin, coalesce(bc.imp, br.imp, 'LR') AS imp FROM asked a "
                                "LEFT JOIN bc ON bc.rate = a.rate_bin AND bc.col = a.col_idx LEFT JOIN br ON br.rate = a.rate_bin")
     stats = " UNION ALL ".join(f"SELECT {i} AS col_idx, avg({c}) AS col_mean, stddev_samp({c}) AS col_std, max({c}) - min({c}) AS col_range FROM z" for i, c in enumerate(W))

@@ -30,7 +30,7 @@ from imputeflow.spec import TableSpec
 from imputeflow.sources.tables import (
     EMB, EVENTS, WIDE8, append_metrics, emb, events, read_features_csv, wide8, with_row_key, write_report)
 
-RATES = (0.1, 0.3, 0.5)
+RATES = MISSING_RATES
 # A policy as input of the adaptive queries: it names every family, trees from the rate on at which they are tried.
 BY_RATE = dict(zip(MISSING_RATES, ("LR", "BR", "BR", "ET", "RF", "RF", "GB", "GB", "ET"), strict=True))
 BY_RATE_COL = {(rate, j): (("LR", "BR", "RF", "ET", "GB") if rate >= TREES_FROM_RATE else ("LR", "BR"))[
@@ -245,7 +245,7 @@ def leak_free_scale(spark, sf):
 def _scores(spark, sf):
     def make():
         z = _wide_z(spark, sf)
-        scenarios = amp.scenario_tables(z, WIDE8, RATES, ("mcar", "mnar"))
+        scenarios = amp.scenario_tables(z, WIDE8, RATES)
         fills = {"mean": SimpleImputer(WIDE8, "mean"), "median": SimpleImputer(WIDE8, "median")}
         plain = policy.score_imputers(z, scenarios, WIDE8, lambda rate: fills)
         return metrics.add_rmse_std(plain, stats.column_profile(z, WIDE8.feats)).persist()
@@ -270,7 +270,7 @@ def rmse_at_rate(spark, sf):
 
 def appended_metrics(spark, sf):
     path = f"{ensure_checkpoint_dir(spark)}/metrics-{uuid.uuid4().hex}"
-    for mech in ("mcar", "mnar"):
+    for mech in ("mcar", "mar", "mnar"):
         append_metrics(_scores(spark, sf).where(F.col("mech") == mech), path)
     back = spark.read.parquet(path)
     return back.groupBy("mech", "imp").agg(F.count("*").alias("n"), _r(F.avg("rmse"), 6).alias("rmse"))
