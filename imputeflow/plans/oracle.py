@@ -388,10 +388,7 @@ def oracle_sql() -> dict[str, str]:
     for k, rate in enumerate((0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)):
         for mech, make in (("mcar", mcar), ("mnar", mnar_tail), ("mar", mar_tail)):
             name = f"{mech}_{k}"
-            part = make("wide", W, rate, name)
-            if mech == "mar":
-                part = [(n + f"_{name}" if n in ("srt", "q") else n, b.replace("FROM srt", f"FROM srt_{name}").replace(", q", f", q_{name}")) for n, b in part]
-            grid += part
+            grid += make("wide", W, rate, name)
             parts += [f"SELECT '{mech}' AS mech, {rate}{D} AS rate, '{c}' AS col, count(*) - count({c}) AS n_miss FROM {name}" for c in W]
     q["scenario_grid"] = query(grid, " UNION ALL ".join(parts))
 
