@@ -4,17 +4,22 @@ Every distinct text is a set of shingles, kept as ``SIGNATURE`` sampled tokens:
 shingle it hashes lowest. A run starts with all sets in one node. At a node one or two of the sampled tokens are chosen by a
 hash of the node alone (1 / ``SIMILARITY`` of them on average, so that a similar pair keeps meeting), and the sets go to a
 child node for each value. A node with one set ends. A small node is compared by brute force on the sampled
-tokens. A larger one is split again; what is still large after ``LEVELS`` splits holds sets that agree everywhere, and is
-taken whole. Runs are repeated until a pair at the threshold is missed with a probability of at most 1 - ``RECALL``.
-
-The nodes that hold a plausible pair are joined where they overlap into blocks (connected components), so that a pair found
-in several runs is tested and counted once. In the blocks, the exact similarity of each pair is computed from whole texts, in
-tiles of bounded size: a product of two incidence matrices per tile, from which only the number of links of each text
+tokens. A larger one is split again. From the ``LEVELS``-th split on, a large node is dense if its sets agree, on
+average over all its pairs, in ``DENSE`` of the sampled tokens that were not chosen on the way to it: its pairs are mostly similar, so
+it is taken whole. A node that isn't dense (texts that share a part only) is split on, always by two tokens, until it is
+small; one that is still large after ``DEEP`` more splits is taken whole. Runs are repeated until a pair at the threshold is
+missed with a probability of at most 1 - ``RECALL`` through all these splits.
+
+Plausible pairs of small nodes, and dense nodes, are joined where they overlap into blocks (connected components), so that a
+pair found in several runs is tested and counted once. Tokens chosen on the way to a node agree in all its sets and don't make a
+pair plausible. In the blocks, the exact similarity of each pair is computed from whole texts, in tiles bounded in sets and
+in bytes: a product of two incidence matrices per tile, from which only the number of links of each text
 and its group inside the tile leave. Copies of a text are one set with a weight, so they cost nothing.
 
 Null texts and texts without words have no shingles and form no links; a text with fewer words than a shingle is one
-shingle. Repeated rows are copies. Ties have no part in the result. An empty table gives an empty result. Only the id and
-text columns are read; null ids are kept and stand behind all others as class ids.
+shingle. A text longer than a tile's bytes is read whole, beside few others. Repeated rows are copies. Ties have no part in the
+result. An empty table gives an empty result. Only the id and text columns are read; null ids are kept and stand behind all
+others as class ids.
 """
 
 from __future__ import annotations
@@ -35,26 +40,29 @@ SIMILARITY = 0.8
 SIGNATURE = 64
 RECALL = 0.9999
 SMALL = 16
-LEVELS = 4
+LEVELS = 3
+DEEP = 21
+DENSE = 0.6
 TILE = 512
-PLAUSIBLE = 0.5
+TILE_BYTES = 16 << 20
+PLAUSIBLE = 0.5625
 SEED = 4
 
 
 def runs_for(recall: float, similarity: float) -> int:
-    """Runs until a pair at the threshold has been in one node with the wanted probability, LEVELS splits deep.
+    """Runs until a pair at the threshold has been in one node with the wanted probability, LEVELS + DEEP splits deep.
 
     With one token, or with two at 1 / similarity - 1, a pair keeps meeting in a critical branching process: the chance
-    to survive a split follows q -> 1 - (1 - s q) ((1 - p) + p (1 - s q)). All runs choose from the same sample, so s is
-    the part of the sampled tokens that agrees: the miss is averaged over its binomial distribution, and a sample that
-    agrees in less than PLAUSIBLE counts as missed.
+    to survive a split follows q -> 1 - (1 - s q) ((1 - p) + p (1 - s q)), with p = 1 below LEVELS. All runs choose from the
+    same sample, so s is the part of the sampled tokens that agrees: the miss is averaged over its binomial distribution,
+    and a sample that agrees in less than PLAUSIBLE counts as missed.
     """
     p, kinds = 1 / similarity - 1, []
     for agree in range(SIGNATURE + 1):
         s, q = agree / SIGNATURE, 1.0
-        for _ in range(LEVELS):
+        for second in [1.0] * DEEP + [p] * LEVELS:
             miss = 1 - s * q
-            q = 1 - miss * ((1 - p) + p * miss)
+            q = 1 - miss * ((1 - second) + second * miss)
         chance = math.comb(SIGNATURE, agree) * similarity ** agree * (1 - similarity) ** (SIGNATURE - agree)
         kinds.append((chance, q if s >= PLAUSIBLE else 0.0))
     if sum(chance for chance, q in kinds if not q) >= 1 - recall:
@@ -65,23 +73,38 @@ def runs_for(recall: float, similarity: float) -> int:
     return runs
 
 
-def _children(path, similarity: float):
-    """Places of the sampled tokens that a node chooses: one, and a second one with chance 1 / similarity - 1."""
+def _children(path, second_chance: float):
+    """Places of the sampled tokens that a node chooses: one, and a second one with the given chance."""
     first = F.pmod(F.xxhash64(path, F.lit(1)), F.lit(SIGNATURE)).cast("int")
     second = F.pmod(first + 1 + F.pmod(F.xxhash64(path, F.lit(2)), F.lit(SIGNATURE - 1)), F.lit(SIGNATURE)).cast("int")
-    both = F.pmod(F.xxhash64(path, F.lit(3)), F.lit(1 << 20)) < int((1 / similarity - 1) * (1 << 20))
+    both = F.pmod(F.xxhash64(path, F.lit(3)), F.lit(1 << 20)) < int(second_chance * (1 << 20))
     return F.when(both, F.array(first, second)).otherwise(F.array(first))
 
 
-def _split(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(path, id, sig) of the children of all nodes."""
-    at = nodes.select("path", "id", "sig", F.explode(_children(F.col("path"), similarity)).alias("place"))
-    return at.select(F.xxhash64("path", "place", F.element_at("sig", F.col("place") + 1)).alias("path"), "id", "sig")
+def _split(nodes: DataFrame, second_chance: float) -> DataFrame:
+    """(path, id, sig, used) of the children of all nodes; used has a bit for each place chosen on the way."""
+    at = nodes.select("path", "id", "sig", "used", F.explode(_children(F.col("path"), second_chance)).alias("place"))
+    return at.select(F.xxhash64("path", "place", F.element_at("sig", F.col("place") + 1)).alias("path"), "id", "sig",
+                     F.expr("used | shiftleft(1L, place)").alias("used"))
+
+
+def _agreement(nodes: DataFrame) -> DataFrame:
+    """(path, agreement): part of the sampled tokens that two sets of a node share, averaged over all its pairs.
+
+    A quarter of the places, by the node, less those already chosen; values are counted, so no pair is formed. A node
+    without such a place agrees everywhere.
+    """
+    at = nodes.select("path", "count", "used", F.posexplode("sig").alias("place", "value")).where(
+        "place % 4 = pmod(path, 4) AND (shiftright(used, place) & 1) = 0")
+    same = at.groupBy("path", "count", "place", "value").agg(F.count("*").alias("n"))
+    pairs = same.groupBy("path", "count", "place").agg(F.sum(F.col("n") * (F.col("n") - 1.0)).alias("n"))
+    return pairs.groupBy("path").agg(F.avg(F.col("n") / (F.col("count") * (F.col("count") - 1.0))).alias("agreement"))
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text hash, and the sampled tokens (null without a word) of each row; one pass over the texts."""
-    rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"), "text")
+    """doc_id, text hash, bytes, and the sampled tokens (null without a word) of each row; one pass over the texts."""
+    rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"),
+                       F.octet_length("text").cast("long").alias("n_bytes"), "text")
     random = np.random.default_rng(SEED)
     factors = random.integers(0, 1 << 63, SIGNATURE, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -98,10 +121,11 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                         np.uint32).view(np.int32)
             sig = np.full(len(n), None, object)
             sig[full] = list(out)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"),
-                                              pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "key", "sig"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("key"), batch.column("n_bytes"), pa.array(sig, pa.list_(pa.int32()))],
+                ["doc_id", "key", "n_bytes", "sig"])
 
-    return rows.mapInArrow(sign, "doc_id long, key string, sig array<int>")
+    return rows.mapInArrow(sign, "doc_id long, key string, n_bytes long, sig array<int>")
 
 
 def _leaf_edges(nodes: DataFrame, groups: int) -> DataFrame:
@@ -110,12 +134,14 @@ def _leaf_edges(nodes: DataFrame, groups: int) -> DataFrame:
         pdf = pdf.sort_values(["path", "id"], kind="stable")
         path, ids = pdf["path"].to_numpy(), pdf["id"].to_numpy()
         sig = np.stack(pdf["sig"].to_numpy())
+        free = (pdf["used"].to_numpy()[:, None] >> np.arange(SIGNATURE)) & 1 == 0
+        places = np.maximum(free.sum(1), 1)
         found = []
         for gap in range(1, SMALL):  # each set with the one `gap` places on in its node
             a = np.flatnonzero(path[gap:] == path[:-gap])
             if not len(a):
                 break
-            agree = (sig[a] == sig[a + gap]).mean(1) >= PLAUSIBLE
+            agree = ((sig[a] == sig[a + gap]) & free[a]).sum(1) >= PLAUSIBLE * places[a]
             found.append(np.stack([ids[a[agree]], ids[a[agree] + gap]], 1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 1], "b": pairs[:, 0]})
@@ -129,27 +155,34 @@ def candidate_edges(sets: DataFrame, similarity: float, recall: float, name: str
     n = sets.count()
     groups = max(16, n // 4000)
     runs = runs_for(recall, similarity)
-    nodes = sets.select("id", "sig", F.explode(F.array(*[F.xxhash64(F.lit(SEED), F.lit(r)) for r in range(runs)]))
-                        .alias("path"))
+    nodes = sets.select("id", "sig", F.lit(0).cast("long").alias("used"),
+                        F.explode(F.array(*[F.xxhash64(F.lit(SEED), F.lit(r)) for r in range(runs)])).alias("path"))
+    columns = ["path", "id", "sig", "used"]
     edges = []
-    for level in range(1, LEVELS + 1):
-        rows = _split(nodes.select("path", "id", "sig"), similarity)
-        if level == 1:  # only ids move until nodes with one set are gone
+    for level in range(1, LEVELS + DEEP + 1):
+        rows = _split(nodes.select(columns), 1 / similarity - 1 if level <= LEVELS else 1.0)
+        if level == 1:  # only ids move until nodes with one set are gone; the one place chosen isn't marked as used
             light = rows.select("path", "id")
             sizes = light.groupBy("path").count().where("count > 1")
             met, _ = write_table(light.join(sizes, "path"), name)
-            rows = met.join(sets, "id").select("path", "id", "sig", "count")
+            rows = met.join(sets, "id").select("path", "id", "sig", F.lit(0).cast("long").alias("used"), "count")
         else:
             rows, _ = write_table(rows, name)
             rows = rows.join(rows.groupBy("path").count().where("count > 1"), "path")
-        edges.append(_leaf_edges(rows.where(F.col("count") <= SMALL).select("path", "id", "sig"), groups))
+        edges.append(_leaf_edges(rows.where(F.col("count") <= SMALL).select(columns), groups))
         large = rows.where(F.col("count") > SMALL)
-        if level == LEVELS:
-            heads = large.groupBy("path").agg(F.min("id").alias("b"))
-            edges.append(large.join(heads, "path").select(F.col("id").alias("a"), "b"))
-        nodes = large
         if level == 1:
-            nodes, _ = write_table(large, name)
+            large, _ = write_table(large, name)
+        if level >= LEVELS:
+            large, _ = write_table(large, name)
+            if large.isEmpty():
+                break
+            told, _ = write_table(large.join(_agreement(large), "path", "left"), name)
+            whole = F.coalesce("agreement", F.lit(1.0)) >= (DENSE if level < LEVELS + DEEP else 0.0)
+            dense, large = told.where(whole), told.where(~whole)
+            heads = dense.groupBy("path").agg(F.min("id").alias("b"))
+            edges.append(dense.join(heads, "path").select(F.col("id").alias("a"), "b"))
+        nodes = large
     out = edges[0]
     for e in edges[1:]:
         out = out.union(e)
@@ -191,21 +224,22 @@ def tile_links(ids: np.ndarray, weights: np.ndarray, values: np.ndarray, offsets
 
 def _blocks(docs: DataFrame, members: DataFrame, blocks: DataFrame, words: int, similarity: float) -> DataFrame:
     """(id, links, root) per tile: exact comparison inside the blocks."""
-    place = blocks.join(members.where("first").select("id", "doc_id", "key", "weight"), F.col("node") == F.col("id"))
+    place = blocks.join(members.select("id", "doc_id", "key", "weight", "n_bytes"), F.col("node") == F.col("id"))
     # tile numbers: sets of a block are dealt by a hash, so no block is numbered through in one task
-    sizes = blocks.groupBy("root").count()
-    tiles = F.ceil(F.col("count") / TILE).cast("int")
+    sizes = place.groupBy("root").agg(F.count("*").alias("count"), F.sum("n_bytes").alias("bytes"))
+    tiles = F.greatest(F.ceil(F.col("count") / TILE), F.least("count", F.ceil(F.col("bytes") / TILE_BYTES))).cast("int")
     place = (place.join(sizes, "root").withColumn("tiles", tiles)
              .withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")))
     text = docs.select(F.col("doc_id").alias("d"), F.md5(F.coalesce("text", F.lit(""))).alias("k"), "text")
     full = text.join(place, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("key"))).select(
         "id", "root", "weight", "tiles", "tile", "text")
-    n = blocks.count()
+    n, n_bytes = place.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    groups = max(1, n // (2 * TILE), n_bytes // (2 * TILE_BYTES))
     # a pair of tiles (i, j) is a task; small blocks share tasks
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1),
                         lambda j: F.struct(F.least("tile", j).alias("i"), F.greatest("tile", j).alias("j")))
     spread = full.withColumn("pair", F.explode(pairs)).withColumn(
-        "grp", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("root"), F.lit(max(1, n // (2 * TILE)))))
+        "grp", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("root"), F.lit(groups)))
         .otherwise(F.xxhash64("root", "pair")))
 
     def compare(pdf):
@@ -213,7 +247,7 @@ def _blocks(docs: DataFrame, members: DataFrame, blocks: DataFrame, words: int,
         pdf = pdf.drop_duplicates(["id", "root"]).sort_values(["root", "id"], kind="stable") if (
             pdf["tiles"].iloc[0] == 1) else pdf.drop_duplicates("id").sort_values("id", kind="stable")
         cuts = np.flatnonzero(np.diff(pdf["root"].to_numpy())) + 1
-        h, offsets = shingle_hashes(pa.array(pdf["text"], pa.string()), words)
+        h, offsets = shingle_hashes(pa.array(pdf["text"], pa.large_string()), words)
         values, offsets = distinct_runs(h, offsets)
         ids, weights, tile = pdf["id"].to_numpy(), pdf["weight"].to_numpy(), pdf["tile"].to_numpy()
         i = np.array([p["i"] for p in pdf["pair"]])
@@ -239,9 +273,9 @@ def similarity_join(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed, _ = write_table(signatures(docs, words), "signed")
     classes = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"),
-                                        F.first("sig").alias("sig"))
+                                        F.first("n_bytes").alias("n_bytes"), F.first("sig").alias("sig"))
     classes, _ = write_table(classes.where("sig is not null").withColumn("id", F.monotonically_increasing_id()), "classes")
-    members = classes.select("id", "doc_id", "key", "weight", F.lit(True).alias("first"))
+    members = classes.select("id", "doc_id", "key", "weight", "n_bytes")
     edges, _ = write_table(candidate_edges(classes.select("id", "sig"), similarity, recall).distinct(), "candidates")
     blocks, _ = write_table(components(edges), "blocks")
     tested, _ = write_table(_blocks(docs, members, blocks, words, similarity), "tested")
@@ -260,7 +294,10 @@ def similarity_join(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with one of each group of linked texts (its smallest id, then text hash), all columns kept."""
+    """The documents with one of each group of linked texts (its smallest id, then text hash), all columns kept.
+
+    Of rows that repeat id and text, the one stays whose columns, written as JSON, come first.
+    """
     found, _ = write_table(similarity_join(docs, id_col=id_col, text_col=text_col, **options), "joined")
     lone = found.where("n_links = 0")
     first = found.where("n_links > 0 and class_id <=> doc_id and class_key = text_key")
@@ -270,7 +307,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
                     "left_semi")
     repeated = first.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count()
     if repeated:  # rows that repeat id and text: one of them stays
-        place = Window.partitionBy(id_col, "__own").orderBy(F.lit(0))
+        place = Window.partitionBy(id_col, "__own").orderBy(
+            F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(0)])))
         linked = first.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
         twice = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
         marked = kept.withColumn("__place", F.row_number().over(place))

@@ -14,10 +14,13 @@ import sentencepiece
 import tiktoken
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from imputeflow.llm import (
     encoding, jaccard, nearest, packing, quality, rank_model, recompress, suffixes, token_count, token_files)
+from imputeflow.llm.components import components
+from imputeflow.llm.shared import write_table
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 PASSAGE = " ".join(f"p{i}" for i in range(60))
@@ -279,10 +282,10 @@ def test_runs_reach_the_recall_on_shared_samples():
     met = np.zeros(len(agree), bool)
     for _ in range(jaccard.runs_for(jaccard.RECALL, jaccard.SIMILARITY)):
         at = np.flatnonzero(~met)
-        for _ in range(jaccard.LEVELS):
+        for level in range(jaccard.LEVELS + 5):  # the deep levels multiply the nodes of a pair: a few of them are enough
             first = g.integers(0, jaccard.SIGNATURE, len(at))
             second = (first + g.integers(1, jaccard.SIGNATURE, len(at))) % jaccard.SIGNATURE
-            both = (g.random(len(at)) < 1 / jaccard.SIMILARITY - 1) & agree[at, second]
+            both = (g.random(len(at)) < (1 / jaccard.SIMILARITY - 1 if level < jaccard.LEVELS else 1)) & agree[at, second]
             at = np.concatenate([at[agree[at, first]], at[both]])
         met[at] = True
     assert (~met).mean() <= 2e-4
@@ -301,6 +304,32 @@ def test_planted_pairs_meet_through_all_levels(spark, monkeypatch):
     assert edges.count() >= n - 5  # 0.8 are missed on average; with 32 places and 11 runs it was 15
 
 
+def test_shared_boilerplate_makes_no_large_block(spark):
+    """3,000 texts with 60 words in common and 60 of their own (similarity 0.30) and five near copies of one of them."""
+    common = " ".join(f"c{k}" for k in range(60))
+    own = {i: [f"w{i}x{k}" for k in range(60)] for i in range(3000)}
+    for i in range(5):
+        own[3000 + i] = [*own[0][:-1], f"last{i}"]
+    df = spark.createDataFrame([(i, f"{common} {' '.join(w)}") for i, w in own.items()], "doc_id long, text string")
+    sets = jaccard.signatures(df, 5).select(F.col("doc_id").alias("id"), "sig")
+    edges, _ = write_table(jaccard.candidate_edges(sets, jaccard.SIMILARITY, jaccard.RECALL).distinct(), "edges")
+    blocks, _ = write_table(components(edges), "blocks")
+    assert max(r["count"] for r in blocks.groupBy("root").count().collect()) <= jaccard.SMALL
+    linked = jaccard.similarity_join(df).where("n_links > 0").select("doc_id", "class_id", "n_links")
+    assert rows_of(linked) == [(i, 0, 5) for i in (0, *range(3000, 3005))]
+
+
+def test_tiles_bounded_in_bytes(spark, monkeypatch):
+    """A text of more than a tile's bytes in a group of near copies."""
+    monkeypatch.setattr(jaccard, "TILE_BYTES", 1 << 16)
+    long_text = [f"word{k}" for k in range(200_000)]
+    rows = [(i, " ".join([*long_text[:-i - 1], f"end{i}"])) for i in range(4)]
+    rows += [(10 + i, " ".join([*(f"s{k}" for k in range(80)), f"t{i}"])) for i in range(40)]
+    got = jaccard.similarity_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(i, 0, 3) for i in range(4)] + [(10 + i, 10, 39) for i in range(40)]
+    assert rows_of(got.select("doc_id", "class_id", "n_links")) == sorted(want, key=repr)
+
+
 # operator 7
 
 def test_statistics(edges, docs, spark, sf_dir, empty):
