@@ -158,7 +158,11 @@ def candidate_edges(sets: DataFrame, similarity: float, recall: float, name: str
     nodes = sets.select("id", "sig", F.lit(0).cast("long").alias("used"),
                         F.explode(F.array(*[F.xxhash64(F.lit(SEED), F.lit(r)) for r in range(runs)])).alias("path"))
     columns = ["path", "id", "sig", "used"]
-    edges = []
+    paths = []  # edges are written level by level: one plan of all levels would fill the driver
+
+    def keep_edges(edges):
+        paths.append(write_table(edges, name)[1])
+
     for level in range(1, LEVELS + DEEP + 1):
         rows = _split(nodes.select(columns), 1 / similarity - 1 if level <= LEVELS else 1.0)
         if level == 1:  # only ids move until nodes with one set are gone; the one place chosen isn't marked as used
@@ -169,24 +173,19 @@ def candidate_edges(sets: DataFrame, similarity: float, recall: float, name: str
         else:
             rows, _ = write_table(rows, name)
             rows = rows.join(rows.groupBy("path").count().where("count > 1"), "path")
-        edges.append(_leaf_edges(rows.where(F.col("count") <= SMALL).select(columns), groups))
-        large = rows.where(F.col("count") > SMALL)
-        if level == 1:
-            large, _ = write_table(large, name)
+        keep_edges(_leaf_edges(rows.where(F.col("count") <= SMALL).select(columns), groups))
+        nodes, _ = write_table(rows.where(F.col("count") > SMALL), name)
+        if nodes.isEmpty():
+            break
         if level >= LEVELS:
-            large, _ = write_table(large, name)
-            if large.isEmpty():
-                break
-            told, _ = write_table(large.join(_agreement(large), "path", "left"), name)
+            told, _ = write_table(nodes.join(_agreement(nodes), "path", "left"), name)
             whole = F.coalesce("agreement", F.lit(1.0)) >= (DENSE if level < LEVELS + DEEP else 0.0)
-            dense, large = told.where(whole), told.where(~whole)
+            dense, nodes = told.where(whole), told.where(~whole)
             heads = dense.groupBy("path").agg(F.min("id").alias("b"))
-            edges.append(dense.join(heads, "path").select(F.col("id").alias("a"), "b"))
-        nodes = large
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.union(e)
-    return out
+            keep_edges(dense.join(heads, "path").select(F.col("id").alias("a"), "b"))
+            if nodes.isEmpty():
+                break
+    return sets.sparkSession.read.schema("a long, b long").parquet(*paths)
 
 
 def tile_links(ids: np.ndarray, weights: np.ndarray, values: np.ndarray, offsets: np.ndarray, left: np.ndarray,
