@@ -5,8 +5,8 @@ shingle it hashes lowest. A run starts with all sets in one node. At a node one
 hash of the node alone (1 / ``SIMILARITY`` of them on average, so that a similar pair keeps meeting), and the sets go to a
 child node for each value. A node with one set ends. A small node is compared by brute force on the sampled
 tokens. A larger one is split again. From the ``LEVELS``-th split on, a large node is dense if its sets agree, on
-average over all its pairs, in ``DENSE`` of the sampled tokens that were not chosen on the way to it: its pairs are mostly similar, so
-it is taken whole. A node that isn't dense (texts that share a part only) is split on, always by two tokens, until it is
+average, with sets drawn from it in ``DENSE`` of the sampled tokens that were not chosen on the way to it: its pairs are mostly
+similar, so it is taken whole. A node that isn't dense (texts that share a part only) is split on, always by two tokens, until it is
 small; one that is still large after ``DEEP`` more splits is taken whole. Runs are repeated until a pair at the threshold is
 missed with a probability of at most 1 - ``RECALL`` through all these splits.
 
@@ -43,6 +43,7 @@ SMALL = 16
 LEVELS = 3
 DEEP = 21
 DENSE = 0.6
+WITNESSES = 4
 TILE = 512
 TILE_BYTES = 16 << 20
 PLAUSIBLE = 0.5625
@@ -88,17 +89,21 @@ def _split(nodes: DataFrame, second_chance: float) -> DataFrame:
                      F.expr("used | shiftleft(1L, place)").alias("used"))
 
 
-def _agreement(nodes: DataFrame) -> DataFrame:
-    """(path, agreement): part of the sampled tokens that two sets of a node share, averaged over all its pairs.
+def _agreement(nodes: DataFrame, name: str) -> DataFrame:
+    """The nodes' rows with ``agreement``: part of the sampled tokens that a set of the node shares with another one.
 
-    A quarter of the places, by the node, less those already chosen; values are counted, so no pair is formed. A node
-    without such a place agrees everywhere.
+    Averaged over all sets against ``WITNESSES`` of them, drawn by hashes, less the tokens chosen on the way (in which all
+    agree) and the witness itself: rows grow with the node, not with its pairs.
     """
-    at = nodes.select("path", "count", "used", F.posexplode("sig").alias("place", "value")).where(
-        "place % 4 = pmod(path, 4) AND (shiftright(used, place) & 1) = 0")
-    same = at.groupBy("path", "count", "place", "value").agg(F.count("*").alias("n"))
-    pairs = same.groupBy("path", "count", "place").agg(F.sum(F.col("n") * (F.col("n") - 1.0)).alias("n"))
-    return pairs.groupBy("path").agg(F.avg(F.col("n") / (F.col("count") * (F.col("count") - 1.0))).alias("agreement"))
+    drawn = nodes.groupBy("path").agg(*[
+        F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "sig"))["sig"].alias(f"w{k}") for k in range(WITNESSES)])
+    chosen = F.bit_count("used")
+    shares = [F.aggregate(F.zip_with("sig", f"w{k}", lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y)
+              for k in range(WITNESSES)]
+    near = sum((s - chosen for s in shares), F.lit(0)) / (WITNESSES * F.greatest(SIGNATURE - chosen, F.lit(1)))
+    met, _ = write_table(nodes.join(drawn, "path").select(*nodes.columns, near.alias("near")), name)
+    mean = met.groupBy("path").agg(((F.sum("near") - 1) / (F.count("*") - 1)).alias("agreement"))
+    return met.drop("near").join(mean, "path")
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -178,8 +183,8 @@ def candidate_edges(sets: DataFrame, similarity: float, recall: float, name: str
         if nodes.isEmpty():
             break
         if level >= LEVELS:
-            told, _ = write_table(nodes.join(_agreement(nodes), "path", "left"), name)
-            whole = F.coalesce("agreement", F.lit(1.0)) >= (DENSE if level < LEVELS + DEEP else 0.0)
+            told, _ = write_table(_agreement(nodes, name), name)
+            whole = F.col("agreement") >= (DENSE if level < LEVELS + DEEP else -1.0)
             dense, nodes = told.where(whole), told.where(~whole)
             heads = dense.groupBy("path").agg(F.min("id").alias("b"))
             keep_edges(dense.join(heads, "path").select(F.col("id").alias("a"), "b"))
