@@ -4,11 +4,12 @@ Every distinct text is a set of shingles, kept as ``SIGNATURE`` sampled tokens:
 shingle it hashes lowest. A run starts with all sets in one node. At a node one or two of the sampled tokens are chosen by a
 hash of the node alone (1 / ``SIMILARITY`` of them on average, so that a similar pair keeps meeting), and the sets go to a
 child node for each value. A node with one set ends. A small node is compared by brute force on the sampled
-tokens. A larger one is split again. From the ``LEVELS``-th split on, a large node is dense if its sets agree, on
-average, with sets drawn from it in ``DENSE`` of the sampled tokens that were not chosen on the way to it: its pairs are mostly
-similar, so it is taken whole. A node that isn't dense (texts that share a part only) is split on, always by two tokens, until it is
-small; one that is still large after ``DEEP`` more splits is taken whole. Runs are repeated until a pair at the threshold is
-missed with a probability of at most 1 - ``RECALL`` through all these splits.
+tokens. A larger one is measured: it is dense if members drawn from it agree with each other, on average, in ``DENSE`` of the
+sampled tokens that were not chosen on the way to it. Splitting a dense node by two tokens would not lower the number of its pairs that
+meet (two children, each keeping half of them at least), so it is taken whole. A node that isn't dense (texts that share a part only) is
+split on, by two tokens from the split after the ``LEVELS``-th on, until it is small; one that is still large after ``DEEP`` more
+splits is taken whole. Runs are repeated until a pair at the threshold is missed with a probability of at most 1 - ``RECALL`` through
+all these splits.
 
 Plausible pairs of small nodes, and dense nodes, are joined where they overlap into blocks (connected components), so that a
 pair found in several runs is tested and counted once. Tokens chosen on the way to a node agree in all its sets and don't make a
@@ -31,9 +32,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from imputeflow.llm.components import components
-from imputeflow.llm.shared import slices, write_table
+from imputeflow.llm.shared import drop_table, slices, write_table
 from imputeflow.llm.shingles import WORDS, distinct_runs, shingle_hashes
 
 SIMILARITY = 0.8
@@ -42,8 +44,8 @@ RECALL = 0.9999
 SMALL = 16
 LEVELS = 3
 DEEP = 21
-DENSE = 0.6
-WITNESSES = 4
+DENSE = 0.5
+WITNESSES = 8
 TILE = 512
 TILE_BYTES = 16 << 20
 PLAUSIBLE = 0.5625
@@ -89,21 +91,32 @@ def _split(nodes: DataFrame, second_chance: float) -> DataFrame:
                      F.expr("used | shiftleft(1L, place)").alias("used"))
 
 
-def _agreement(nodes: DataFrame, name: str) -> DataFrame:
-    """The nodes' rows with ``agreement``: part of the sampled tokens that a set of the node shares with another one.
+@F.pandas_udf(DoubleType())
+def _mean_agreement(sigs: pd.Series, used: pd.Series) -> pd.Series:
+    """Mean part of the sampled tokens, less those chosen on the way, in which two of the witnesses agree."""
+    out = []
+    for rows, bits in zip(sigs, used, strict=True):
+        sig = np.stack(rows)[:, (bits >> np.arange(SIGNATURE)) & 1 == 0]
+        m = len(sig)
+        alike = (sig[:, None] == sig[None]).sum() - m * sig.shape[1]
+        out.append(alike / max(m * (m - 1) * sig.shape[1], 1))
+    return pd.Series(out, dtype=float)
 
-    Averaged over all sets against ``WITNESSES`` of them, drawn by hashes, less the tokens chosen on the way (in which all
-    agree) and the witness itself: rows grow with the node, not with its pairs.
+
+def _density(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(path, head, agreement) of the nodes of ``nodes``: smallest id, and how far drawn members agree with each other.
+
+    Up to ``WITNESSES`` members are drawn by nearness of their ids to random ids, so a node is read once, whatever its pairs.
     """
-    drawn = nodes.groupBy("path").agg(*[
-        F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "sig"))["sig"].alias(f"w{k}") for k in range(WITNESSES)])
-    chosen = F.bit_count("used")
-    shares = [F.aggregate(F.zip_with("sig", f"w{k}", lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y)
-              for k in range(WITNESSES)]
-    near = sum((s - chosen for s in shares), F.lit(0)) / (WITNESSES * F.greatest(SIGNATURE - chosen, F.lit(1)))
-    met, _ = write_table(nodes.join(drawn, "path").select(*nodes.columns, near.alias("near")), name)
-    mean = met.groupBy("path").agg(((F.sum("near") - 1) / (F.count("*") - 1)).alias("agreement"))
-    return met.drop("near").join(mean, "path")
+    masks = np.random.default_rng(SEED).integers(0, 1 << 62, WITNESSES).tolist()
+    drawn = nodes.groupBy("path").agg(
+        F.min("id").alias("head"), F.max("used").alias("used"),
+        *[F.min(F.col("id").bitwiseXOR(F.lit(m))).alias(f"w{k}") for k, m in enumerate(masks)])
+    ids = F.array_distinct(F.array(*[F.col(f"w{k}").bitwiseXOR(F.lit(m)) for k, m in enumerate(masks)]))
+    met = drawn.select("path", "head", "used", F.explode(ids).alias("id")).join(sets, "id")
+    return met.groupBy("path").agg(
+        F.first("head").alias("head"), F.first("used").alias("used"), F.collect_list("sig").alias("sigs")).select(
+        "path", "head", _mean_agreement("sigs", "used").alias("agreement"))
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -156,41 +169,46 @@ def _leaf_edges(nodes: DataFrame, groups: int) -> DataFrame:
 
 
 def candidate_edges(sets: DataFrame, similarity: float, recall: float, name: str = "paths") -> DataFrame:
-    """Edges (a, b) between ids whose sets met in a node and look similar."""
+    """Edges (a, b) between ids whose sets met in a node and look similar.
+
+    Only ids move between nodes; sampled tokens are joined to them where a node is split, measured or compared.
+    """
+    spark = sets.sparkSession
     n = sets.count()
     groups = max(16, n // 4000)
     runs = runs_for(recall, similarity)
     nodes = sets.select("id", "sig", F.lit(0).cast("long").alias("used"),
                         F.explode(F.array(*[F.xxhash64(F.lit(SEED), F.lit(r)) for r in range(runs)])).alias("path"))
-    columns = ["path", "id", "sig", "used"]
     paths = []  # edges are written level by level: one plan of all levels would fill the driver
+    done = []  # tables of the level before
 
-    def keep_edges(edges):
-        paths.append(write_table(edges, name)[1])
+    def keep(df, tables):
+        table, path = write_table(df, name)
+        tables.append(path)
+        return table
 
     for level in range(1, LEVELS + DEEP + 1):
-        rows = _split(nodes.select(columns), 1 / similarity - 1 if level <= LEVELS else 1.0)
-        if level == 1:  # only ids move until nodes with one set are gone; the one place chosen isn't marked as used
-            light = rows.select("path", "id")
-            sizes = light.groupBy("path").count().where("count > 1")
-            met, _ = write_table(light.join(sizes, "path"), name)
-            rows = met.join(sets, "id").select("path", "id", "sig", F.lit(0).cast("long").alias("used"), "count")
-        else:
-            rows, _ = write_table(rows, name)
-            rows = rows.join(rows.groupBy("path").count().where("count > 1"), "path")
-        keep_edges(_leaf_edges(rows.where(F.col("count") <= SMALL).select(columns), groups))
-        nodes, _ = write_table(rows.where(F.col("count") > SMALL), name)
-        if nodes.isEmpty():
+        used_up, done = done, []
+        rows = _split(nodes, 1 / similarity - 1 if level <= LEVELS else 1.0).select("path", "id", "used")
+        if level > 1:  # the first split's rows, mostly alone in their nodes, are made twice instead
+            rows = keep(rows, used_up)
+        met = keep(rows.join(rows.groupBy("path").count().where("count > 1"), "path"), done)
+        for path in used_up:
+            drop_table(spark, path)
+        keep(_leaf_edges(met.where(F.col("count") <= SMALL).select("path", "id", "used").join(sets, "id"), groups), paths)
+        large = met.where(F.col("count") > SMALL).select("path", "id", "used")
+        if large.isEmpty():
             break
-        if level >= LEVELS:
-            told, _ = write_table(_agreement(nodes, name), name)
-            whole = F.col("agreement") >= (DENSE if level < LEVELS + DEEP else -1.0)
-            dense, nodes = told.where(whole), told.where(~whole)
-            heads = dense.groupBy("path").agg(F.min("id").alias("b"))
-            keep_edges(dense.join(heads, "path").select(F.col("id").alias("a"), "b"))
-            if nodes.isEmpty():
-                break
-    return sets.sparkSession.read.schema("a long, b long").parquet(*paths)
+        told = keep(_density(large, sets), done)
+        whole = F.col("agreement") >= (DENSE if level < LEVELS + DEEP else -1.0)
+        keep(large.join(told.where(whole), "path").select(F.col("id").alias("a"), F.col("head").alias("b")), paths)
+        open_nodes = told.where(~whole).select("path")
+        if open_nodes.isEmpty():
+            break
+        nodes = large.join(open_nodes, "path").join(sets, "id")
+    for path in done:
+        drop_table(spark, path)
+    return spark.read.schema("a long, b long").parquet(*paths)
 
 
 def tile_links(ids: np.ndarray, weights: np.ndarray, values: np.ndarray, offsets: np.ndarray, left: np.ndarray,
