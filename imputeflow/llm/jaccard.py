@@ -7,8 +7,8 @@ child node for each value. A node with one set ends. A small node is compared by
 tokens. A larger one is measured: it is dense if members drawn from it agree with each other, on average, in ``DENSE`` of the
 sampled tokens that were not chosen on the way to it. Splitting a dense node by two tokens would not lower the number of its pairs that
 meet (two children, each keeping half of them at least), so it is taken whole. A node that isn't dense (texts that share a part only) is
-split on, by two tokens from the split after the ``LEVELS``-th on, until it is small; one that is still large after ``DEEP`` more
-splits is taken whole. Runs are repeated until a pair at the threshold is missed with a probability of at most 1 - ``RECALL`` through
+split on, by two tokens and ``STEP`` times at once from the split after the ``LEVELS``-th on, until it is small; one that is still
+large after ``DEEP`` more splits is taken whole. Runs are repeated until a pair at the threshold is missed with a probability of at most 1 - ``RECALL`` through
 all these splits.
 
 Plausible pairs of small nodes, and dense nodes, are joined where they overlap into blocks (connected components), so that a
@@ -44,6 +44,7 @@ RECALL = 0.9999
 SMALL = 16
 LEVELS = 3
 DEEP = 21
+STEP = 3
 DENSE = 0.5
 WITNESSES = 8
 TILE = 512
@@ -187,9 +188,13 @@ def candidate_edges(sets: DataFrame, similarity: float, recall: float, name: str
         tables.append(path)
         return table
 
-    for level in range(1, LEVELS + DEEP + 1):
+    rounds = [*range(1, LEVELS + 1), *range(LEVELS + STEP, LEVELS + DEEP + 1, STEP)]
+    for level in rounds:
         used_up, done = done, []
-        rows = _split(nodes, 1 / similarity - 1 if level <= LEVELS else 1.0).select("path", "id", "used")
+        rows = nodes
+        for _ in range(1 if level <= LEVELS else STEP):
+            rows = _split(rows, 1 / similarity - 1 if level <= LEVELS else 1.0)
+        rows = rows.select("path", "id", "used")
         if level > 1:  # the first split's rows, mostly alone in their nodes, are made twice instead
             rows = keep(rows, used_up)
         met = keep(rows.join(rows.groupBy("path").count().where("count > 1"), "path"), done)
@@ -197,15 +202,14 @@ def candidate_edges(sets: DataFrame, similarity: float, recall: float, name: str
             drop_table(spark, path)
         keep(_leaf_edges(met.where(F.col("count") <= SMALL).select("path", "id", "used").join(sets, "id"), groups), paths)
         large = met.where(F.col("count") > SMALL).select("path", "id", "used")
-        if large.isEmpty():
-            break
         told = keep(_density(large, sets), done)
-        whole = F.col("agreement") >= (DENSE if level < LEVELS + DEEP else -1.0)
+        whole = F.col("agreement") >= (DENSE if level < rounds[-1] else -1.0)
         keep(large.join(told.where(whole), "path").select(F.col("id").alias("a"), F.col("head").alias("b")), paths)
         open_nodes = told.where(~whole).select("path")
         if open_nodes.isEmpty():
             break
-        nodes = large.join(open_nodes, "path").join(sets, "id")
+        # written, so that the planner knows the size of what it joins to the sets
+        nodes = keep(large.join(open_nodes, "path"), done).join(sets, "id")
     for path in done:
         drop_table(spark, path)
     return spark.read.schema("a long, b long").parquet(*paths)
