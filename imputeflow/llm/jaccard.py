@@ -5,11 +5,11 @@ shingle it hashes lowest. A run starts with all sets in one node. At a node one
 hash of the node alone (1 / ``SIMILARITY`` of them on average, so that a similar pair keeps meeting), and the sets go to a
 child node for each value. A node with one set ends. A small node is compared by brute force on the sampled
 tokens. A larger one is measured: it is dense if members drawn from it agree with each other, on average, in ``DENSE`` of the
-sampled tokens that were not chosen on the way to it. Splitting a dense node by two tokens would not lower the number of its pairs that
-meet (two children, each keeping half of them at least), so it is taken whole. A node that isn't dense (texts that share a part only) is
-split on, by two tokens and ``STEP`` times at once from the split after the ``LEVELS``-th on, until it is small; one that is still
-large after ``DEEP`` more splits is taken whole. Runs are repeated until a pair at the threshold is missed with a probability of at most 1 - ``RECALL`` through
-all these splits.
+sampled tokens that were not chosen on the way to it. Splitting a dense node by two tokens would not lower the number of its
+pairs that meet (two children, each keeping half of them at least), so it is taken whole. A node that isn't dense (texts that
+share a part only) is split on, from the split after the ``LEVELS``-th on by two tokens and ``STEP`` times at once, until it is
+small; one that is still large after ``DEEP`` more splits is taken whole. Runs are repeated until a pair at the threshold is
+missed with a probability of at most 1 - ``RECALL`` through all these splits.
 
 Plausible pairs of small nodes, and dense nodes, are joined where they overlap into blocks (connected components), so that a
 pair found in several runs is tested and counted once. Tokens chosen on the way to a node agree in all its sets and don't make a
