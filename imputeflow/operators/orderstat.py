@@ -3,6 +3,8 @@
 Each pass counts the rows of the still open value intervals in bins and keeps only the
 bins that hold a wanted rank, so a handful of scans with map-side partial counts replaces
 a global sort, and the driver sees a bounded number of bins however large the table is.
+Bins are of equal width. Where these don't narrow the intervals (values of very different
+size), the next bins end at approximate quantiles, so the passes don't depend on the values.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from imputeflow.session import small_table
 
 BIN_BUDGET = 65536
 FINISH_ROWS = 20000
+NARROWED = 16  # a pass that keeps more than this part of the open rows is followed by one by quantiles
+SPLITTERS = 255
 
 
 @dataclass(frozen=True)
@@ -37,6 +41,18 @@ def stack_columns(df: DataFrame, columns: list[Column], keep: Column | None = No
     return src.select(F.inline(cells)).where(F.col("val").isNotNull() & ~F.isnan("val"))
 
 
+def _quantile_bins(spark, long: DataFrame, inside: DataFrame, open_parts: list) -> DataFrame:
+    """Rows inside the open intervals with ``bin``: even between two approximate quantiles, odd at one of them."""
+    probs = [(i + 1) / (SPLITTERS + 1) for i in range(SPLITTERS)]
+    found = inside.groupBy("part").agg(F.percentile_approx("val", probs, 10000).alias("cuts")).collect()
+    cuts = {r.part: sorted(set(r.cuts)) for r in found}
+    rows = [(i, g, lo, hi, cuts[i]) for i, (g, lo, hi, _, _) in enumerate(open_parts)]
+    table = small_table(spark, rows, "part int, grp int, lo double, hi double, cuts array<double>", 32 + 8 * SPLITTERS)
+    held = long.join(table, "grp").where(F.col("val").between(F.col("lo"), F.col("hi")))
+    smaller = F.size(F.filter("cuts", lambda c: c < F.col("val")))
+    return held.withColumn("bin", (2 * smaller + F.array_contains("cuts", F.col("val")).cast("int")).cast("long"))
+
+
 def order_statistics(long: DataFrame, ranks_of, bounds: tuple[float, float] | None = None):
     """Exact values at 0-based ranks of every group of ``long(grp, val)``.
 
@@ -88,11 +104,13 @@ def order_statistics(long: DataFrame, ranks_of, bounds: tuple[float, float] | No
         return still
 
     open_parts = keep_open(parts)
+    before = None
     while open_parts:
+        n_open = sum(p[4] for p in open_parts)
         rows = [(i, g, lo, hi) for i, (g, lo, hi, _, _) in enumerate(open_parts)]
         table = small_table(spark, rows, "part int, grp int, lo double, hi double", 32)
         inside = long.join(table, "grp").where(F.col("val").between(F.col("lo"), F.col("hi")))
-        if sum(p[4] for p in open_parts) <= FINISH_ROWS:
+        if n_open <= FINISH_ROWS:
             values = inside.groupBy("part", "val").count().collect()
             by_part = defaultdict(list)
             for r in values:
@@ -103,12 +121,15 @@ def order_statistics(long: DataFrame, ranks_of, bounds: tuple[float, float] | No
                     pieces.append((g, v, v, below, n))
                     below += n
         else:
-            bins = max(64, BIN_BUDGET // len(open_parts))
-            # halved first: the width of an interval may pass the largest double
-            place = (F.col("val") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins
-            cells = (inside.groupBy("part", F.least(F.floor(place), F.lit(bins - 1)).alias("bin"))
-                     .agg(F.count("*").alias("n"), F.min("val").alias("lo"),
-                          F.max("val").alias("hi")).collect())
+            if before is not None and n_open > before / NARROWED:
+                binned, before = _quantile_bins(spark, long, inside, open_parts), None
+            else:
+                bins, before = max(64, BIN_BUDGET // len(open_parts)), n_open
+                # halved first: the width of an interval may pass the largest double
+                place = (F.col("val") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins
+                binned = inside.withColumn("bin", F.least(F.floor(place), F.lit(bins - 1)))
+            cells = (binned.groupBy("part", "bin")
+                     .agg(F.count("*").alias("n"), F.min("val").alias("lo"), F.max("val").alias("hi")).collect())
             seen = {i: p[3] for i, p in enumerate(open_parts)}
             pieces = []
             for r in sorted(cells, key=lambda r: (r.part, r.bin)):

@@ -1,11 +1,12 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from imputeflow.functions import scalars
 from imputeflow.functions.hashing import hash_uniform
 from imputeflow.operators import amputate as amp
-from imputeflow.operators import stats
+from imputeflow.operators import orderstat, stats
 from imputeflow.operators.orderstat import draw_cuts, exact_quantiles
 from imputeflow.operators.simple import SimpleImputer, complete_cases
 from imputeflow.operators.split import read_fold, stratified_folds, write_folds
@@ -31,8 +32,6 @@ def test_quantiles_equal_numpy_with_ties_and_nulls(spark):
 
 
 def test_quantiles_refine_over_passes(spark, monkeypatch):
-    from imputeflow.operators import orderstat
-
     monkeypatch.setattr(orderstat, "FINISH_ROWS", 5)
     monkeypatch.setattr(orderstat, "BIN_BUDGET", 64)
     df = table(spark)
@@ -169,3 +168,20 @@ def test_all_null_column_stays_null(spark):
     with pytest.warns(UserWarning):
         got = SimpleImputer(TableSpec("k", ("a", "b"))).fit_transform(df).collect()
     assert [r.a for r in got] == [1.0, 1.0] and all(r.b is None for r in got)
+
+
+def test_order_statistics_of_values_of_very_different_size(spark, monkeypatch):
+    monkeypatch.setattr(orderstat, "FINISH_ROWS", 50)
+    g = np.random.default_rng(5)
+    x = np.concatenate([10.0 ** g.uniform(-300, 300, 6000) * g.choice([-1.0, 1.0], 6000), np.repeat(1e-280, 500)])
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    passes, plain = [], orderstat.small_table
+    monkeypatch.setattr(orderstat, "small_table", lambda *a: passes.append(1) or plain(*a))
+    probs = [0.0, 0.1, 0.5, 0.51, 0.9, 1.0]
+    got = exact_quantiles(df, ["x"], probs)
+    ordered = np.sort(x)
+    for p in probs:
+        spot = p * (len(x) - 1)
+        lo, hi = ordered[int(np.floor(spot))], ordered[int(np.ceil(spot))]
+        assert got["x", p] == (lo if lo == hi else lo + (hi - lo) * (spot - np.floor(spot)))
+    assert len(passes) <= 8
