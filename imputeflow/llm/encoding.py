@@ -89,6 +89,10 @@ class TextEncoder:
     def __init__(self, encoder):
         self.encoder, self.recent = encoder, RecentValues(REMEMBERED)
 
+    def forget(self) -> None:
+        """Let go of the remembered pieces: a Python worker goes on to other stages with what it holds."""
+        self.recent = RecentValues(REMEMBERED)
+
     def _unit_ids(self, parts: list[tuple[str, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pool of ids, and start and length of each unit's ids in it."""
         n = np.fromiter(map(len, parts), np.int64, len(parts))

@@ -102,6 +102,18 @@ def library_ids(name, df):
     return [(i, library.encode(t, add_special_tokens=False).ids) for i, t in texts_of(df)]
 
 
+def test_packing_leaves_no_pieces_in_workers(spark, docs):
+    assert packing.pieces_of(docs, "word_bpe_49k.json", 64, 0).count()
+
+    def held(batches):
+        for _ in batches:
+            pass
+        recent = encoding.encoder_for("word_bpe_49k.json", encoding.WordEncoder).recent
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(recent.new) + len(recent.old)], pa.int64())})
+
+    assert {r["n"] for r in spark.range(0, 16, 1, 16).mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_packing(edges, docs, empty):
     for df in (edges, docs):
         want = []
