@@ -3,7 +3,8 @@
 Donors are laid into cells with a known bounding box; a row first meets the cell nearest to
 it, which bounds its k-th distance, and then only the cells that can still beat that bound.
 Rows meet in blocks of bounded size (cell x donor chunk x query chunk); a block returns only
-its k best per row. Copies are reduced beforehand to the k+1 lowest keys, which is all that
+its k best per row, the second time only those within the bound. Inside a block, matrix products leave out the pairs
+that are surely too far, by more than their rounding; the others are worked out exactly. Copies are reduced beforehand to the k+1 lowest keys, which is all that
 any neighbour list can hold of them, so a hot value cannot swell a cell.
 
 The distance is the mean squared difference over the columns known in both rows; ties go to
@@ -24,7 +25,11 @@ from imputeflow.session import cut_lineage
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 4096
+MANY_COLUMNS = 16  # beyond, boxes prune little, and blocks grow with the table to be met by fewer copies of a row
+BLOCK_BYTES = 16 << 20
+LARGEST_BLOCK = 32768
 MAX_CELLS = 16384
+PATTERN_CELLS = 64
 SPLIT_SAMPLE = 200_000
 PAIR_BUDGET = 1 << 20
 
@@ -123,7 +128,7 @@ class Cells:
 
 
 def _matrix(series) -> np.ndarray:
-    return np.array([[np.nan if v is None else v for v in row] for row in series], float)
+    return np.array(list(series), float)
 
 
 class NeighbourJoin:
@@ -138,7 +143,7 @@ class NeighbourJoin:
 
     def __init__(self, key: str, cols, k: int, group: str | None = None, per_column: bool = False,
                  tag: str | None = None, carry: bool = False,
-                 block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS):
+                 block_rows: int | None = None, query_rows: int | None = None):
         self.key, self.cols, self.k = key, list(cols), k
         self.tag, self.carry = tag, carry
         self.group, self.per_column = group, per_column
@@ -161,16 +166,24 @@ class NeighbourJoin:
     def _strata(self):
         return F.concat_ws("|", "g", F.concat_ws("", F.transform("x", lambda v: F.when(v.isNull(), "0").otherwise("1"))))
 
+    def _block_sizes(self, n: int) -> None:
+        """The rows of a block, where the caller didn't name them."""
+        size = BLOCK_ROWS
+        if len(self.cols) > MANY_COLUMNS:
+            size = max(BLOCK_ROWS, min(LARGEST_BLOCK, BLOCK_BYTES // (8 * len(self.cols)), n // 8))
+        self.block_rows, self.query_rows = self.block_rows or size, self.query_rows or max(QUERY_ROWS, size)
+
     def _cells(self, donors: DataFrame):
-        donors = donors.withColumn("s", self._strata())
-        if donors.select("g", "s").distinct().limit(MAX_CELLS + 1).count() > MAX_CELLS:
+        by_pattern = donors.groupBy("g", "s").count().limit(MAX_CELLS + 1).collect()
+        by_group = {r.g: r["count"] for r in donors.groupBy("g").count().collect()}
+        n = sum(by_group.values())
+        self._block_sizes(n)
+        if len(by_pattern) > min(MAX_CELLS, len(by_group) + PATTERN_CELLS + 4 * n // self.block_rows):
             # too many patterns to tell apart: cells of mixed rows, which no bound can skip
             donors = donors.withColumn("s", F.col("g"))
-        counts = {(r.g, r.s): r["count"] for r in donors.groupBy("g", "s").count().collect()}
-        n = sum(counts.values())
-        by_group: dict = {}
-        for (g, _), c in counts.items():
-            by_group[g] = by_group.get(g, 0) + c
+            counts = {(g, g): c for g, c in by_group.items()}
+        else:
+            counts = {(r.g, r.s): r["count"] for r in by_pattern}
         if n <= self.block_rows:
             # everything fits one block per group: no need to tell patterns apart
             forest = CellForest({g: i for i, g in enumerate(by_group)}, np.full(len(by_group), -1),
@@ -248,9 +261,11 @@ class NeighbourJoin:
     # ---- meeting ----
 
     def _meet(self, routed: DataFrame, placed: DataFrame, cells: Cells) -> DataFrame:
-        """Neighbours found where routed rows ``(k, x, cell)`` meet their cells, in blocks."""
+        """Neighbours found where routed rows ``(k, x, bound, cell)`` meet their cells, in blocks; none beyond a bound."""
         spark = routed.sparkSession
         k, per_column = self.k, self.per_column
+        if "bound" not in routed.columns:
+            routed = routed.withColumn("bound", F.lit(None).cast("array<double>"))
         if len(cells.ids) == 1:
             dn, qn = -(-int(cells.n[0]) // self.block_rows), max(1, -(-routed.count() // self.query_rows))
             sized = [t.withColumns({"dn": F.lit(dn), "qn": F.lit(qn)}) for t in (routed, placed)]
@@ -265,7 +280,7 @@ class NeighbourJoin:
             sized = [t.join(F.broadcast(plan), "cell") for t in (routed, placed)]
         q = (sized[0].withColumn("qc", F.pmod(F.xxhash64("k"), F.col("qn")).cast("int"))
              .withColumn("dc", F.explode(F.sequence(F.lit(0), F.col("dn") - 1)))
-             .select("cell", "dc", "qc", "k", "x"))
+             .select("cell", "dc", "qc", "k", "x", "bound"))
         d = (sized[1].withColumn("dc", F.pmod(F.xxhash64("k"), F.col("dn")).cast("int"))
              .withColumn("qc", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)))
              .select("cell", "dc", "qc", F.col("k").alias("dk"), F.col("x").alias("dx"), F.col("t").alias("dt")))
@@ -277,11 +292,8 @@ class NeighbourJoin:
             right = right.sort_values("dk", ignore_index=True)
             dx, dk = _matrix(right["dx"]), right["dk"].to_numpy()
             qx, qk = _matrix(left["x"]), left["k"].to_numpy()
-            step = max(1, PAIR_BUDGET // len(dx))
-            parts = []
-            for at in range(0, len(qx), step):
-                parts.append(best_in_block(qx[at:at + step], qk[at:at + step], dx, dk, k, per_column))
-            best = pd.concat(parts, ignore_index=True)
+            bound = None if left["bound"].iloc[0] is None else _matrix(left["bound"])
+            best = best_in_block(qx, qk, dx, dk, k, per_column, bound)
             at = best.pop("at").to_numpy(int)
             best["dt"] = right["dt"].to_numpy()[at]
             best["dx"] = right["dx"].to_numpy()[at] if carry else None
@@ -304,7 +316,7 @@ class NeighbourJoin:
     def join(self, queries: DataFrame, donors: DataFrame) -> DataFrame:
         """Rows ``(k, target, dk, dist, val, dt, dx, rank)``; target is -1 or the column asked for."""
         q = self._packed(queries)
-        placed, cells = self._cells(self._distinct_donors(self._packed(donors)))
+        placed, cells = self._cells(cut_lineage(self._distinct_donors(self._packed(donors)).withColumn("s", self._strata())))
         if not len(cells.ids):
             return q.sparkSession.createDataFrame([], self._schema(q) + ", rank int")
         if self.per_column:
@@ -317,7 +329,6 @@ class NeighbourJoin:
             held = q.sparkSession.createDataFrame([(int(c), g) for c, g in zip(cells.ids, cells.group)],
                                                   "cell long, g string")
             return self._meet(q.join(F.broadcast(held), "g").select("k", "x", "cell"), placed, cells)
-        placed = cut_lineage(placed)
         routed = q.withColumn("cells", home("g", "x"))
         first = cut_lineage(self._meet(routed.select("k", "x", F.explode("cells").alias("cell")),
                                        placed, cells))
@@ -330,48 +341,155 @@ class NeighbourJoin:
         again = (routed.join(reach, "k", "left")
                  .withColumn("bound", F.coalesce("bound", open_end))
                  .withColumn("more", self._router(cells, first=False)("g", "x", "bound"))
-                 .select("k", "x", F.explode(F.array_except("more", "cells")).alias("cell")))
+                 .select("k", "x", "bound", F.explode(F.array_except("more", "cells")).alias("cell")))
         second = self._meet(again, placed, cells)
         both = first.drop("rank").unionByName(second.drop("rank"))
         return self._best(both)
 
 
-def best_in_block(qx, qk, dx, dk, k, per_column) -> pd.DataFrame:
-    """The k best donors of each query within one block; donors come sorted by key."""
-    dist = np.zeros((len(qx), len(dx)))
-    shared = np.zeros(dist.shape)
-    for c in range(qx.shape[1]):
-        both = ~np.isnan(qx[:, c])[:, None] & ~np.isnan(dx[:, c])[None, :]
-        diff = np.where(both, qx[:, c][:, None] - dx[:, c][None, :], 0.0)
-        dist += diff * diff
-        shared += both
-    with np.errstate(divide="ignore", invalid="ignore"):
-        dist = np.where(shared > 0, dist / shared, np.inf)
-    dist[qk[:, None] == dk[None, :]] = np.inf
-    out = {"k": [], "target": [], "dk": [], "dist": [], "val": [], "at": []}
-    for t in range(qx.shape[1]) if per_column else (-1,):
-        rows = np.flatnonzero(np.isnan(qx[:, t])) if t >= 0 else np.arange(len(qx))
-        able = np.flatnonzero(~np.isnan(dx[:, t])) if t >= 0 else np.arange(len(dx))
-        if not len(rows) or not len(able):
+class PairDistances:
+    """Distances between the rows of a block: of all pairs by matrix products, of chosen pairs exactly, column by column."""
+
+    def __init__(self, qx: np.ndarray, dx: np.ndarray):
+        self.qx, self.dx = qx, dx
+        self.q_known, self.d_known = ~np.isnan(qx), ~np.isnan(dx)
+        self.whole = bool(self.q_known.all() and self.d_known.all())
+        with np.errstate(all="ignore"):
+            # the products take numbers around the middle, in units of their range
+            values = np.where(self.d_known, dx, 0.0)
+            mid = values.sum(0) / np.maximum(self.d_known.sum(0), 1)
+            q, d = np.where(self.q_known, qx - mid, 0.0), np.where(self.d_known, dx - mid, 0.0)
+            unit = max(np.abs(q).max(initial=0.0), np.abs(d).max(initial=0.0))
+        # where squares could pass the largest double or lose digits to the smallest, all pairs are worked out exactly
+        self.fine = bool(np.isfinite(unit) and (unit == 0.0 or 1e-100 < unit < 1e100))
+        self.q, self.d = q, d
+        if self.fine:
+            self.q2, self.d2 = (q * q).sum(1), (d * d).sum(1)
+            if self.whole:
+                self.right = np.hstack([d, np.ones((len(d), 1)), self.d2[:, None]]).T.copy()
+            else:
+                self.seen = self.d_known.astype(float)
+                self.right = np.hstack([self.seen, d * d, d]).T.copy()
+                self.seen = self.seen.T.copy()
+            self.slack = (8 * qx.shape[1] + 64) * np.finfo(float).eps * (self.q2 + self.d2.max(initial=0.0))
+
+    def all_pairs(self, rows: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of some queries to all donors, and by how much each query's may be off."""
+        if not self.fine:
+            n = len(self.qx[rows])
+            at = np.indices((n, len(self.dx)))
+            found = self.exact(at[0].ravel() + (rows.start or 0), at[1].ravel())
+            return np.where(np.isnan(found), np.inf, found).reshape(n, -1), np.zeros(n)
+        q = self.q[rows]
+        if self.whole:
+            p = q.shape[1]
+            left = np.hstack([-2.0 / p * q, self.q2[rows][:, None] / p, np.full((len(q), 1), 1.0 / p)])
+            return left @ self.right, self.slack[rows] / p
+        known = self.q_known[rows].astype(float)
+        out = np.hstack([q * q, known, -2.0 * q]) @ self.right
+        shared = known @ self.seen
+        least = np.maximum(shared.min(axis=1, initial=np.inf), 1.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = np.where(shared > 0, out / shared, np.inf)
+        return out, self.slack[rows] / least
+
+    def exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Distances of the pairs (i, j)."""
+        dist, shared = np.zeros(len(i)), np.zeros(len(i))
+        with np.errstate(all="ignore"):
+            for c in range(self.qx.shape[1]):
+                diff = self.qx[i, c] - self.dx[j, c]
+                if self.whole:
+                    dist += diff * diff
+                else:
+                    both = self.q_known[i, c] & self.d_known[j, c]
+                    diff = np.where(both, diff, 0.0)
+                    dist += diff * diff
+                    shared += both
+            return dist / self.qx.shape[1] if self.whole else np.where(shared > 0, dist / shared, np.inf)
+
+
+def _own_pairs(qk, dk) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of equal keys."""
+    at: dict = {}
+    for j, key in enumerate(dk.tolist()):
+        if key == key:  # NaN isn't
+            at.setdefault(key, []).append(j)
+    pairs = [(i, j) for i, key in enumerate(qk.tolist()) if key == key for j in at.get(key, ())]
+    found = np.array(pairs, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def _first_of_each(row: np.ndarray, k: int) -> np.ndarray:
+    """Which entries are among the first k of their row; rows are ascending."""
+    if not len(row):
+        return np.zeros(0, bool)
+    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    return np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)])) < k
+
+
+def best_in_block(qx, qk, dx, dk, k, per_column, bound=None) -> pd.DataFrame:
+    """The k best donors of each query within one block; donors come sorted by key.
+
+    ``bound`` has a distance per query (and column, if ``per_column``) beyond which no donor is wanted.
+    """
+    pairs = PairDistances(qx, dx)
+    own_i, own_j = _own_pairs(qk, dk)
+    found = {"row": [], "target": [], "at": [], "dist": []}
+
+    def keep(row, target, at, dist):
+        for name, part in zip(found, (row, np.full(len(row), target), at, dist), strict=True):
+            found[name].append(part)
+
+    # of donors that know a column, k are wanted: some more than k are looked at first
+    first = min(len(dx), k if not per_column else 4 * k + 20)
+    step = max(1, PAIR_BUDGET // max(1, len(dx)))
+    for a in range(0, len(qx), step):
+        rows = slice(a, min(a + step, len(qx)))
+        dist, slack = pairs.all_pairs(rows)
+        here = (own_i >= a) & (own_i < a + step)
+        dist[own_i[here] - a, own_j[here]] = np.inf
+        edge = np.full(len(dist), np.inf) if bound is None else bound[rows].max(axis=1)
+        unbound = np.flatnonzero(np.isinf(edge))
+        if len(unbound) and first < len(dx):
+            near = dist if len(unbound) == len(dist) else dist[unbound]
+            edge[unbound] = np.partition(near, first - 1, axis=1)[:, first - 1] + slack[unbound]
+        i, j = np.nonzero(dist <= np.minimum(edge + slack, np.finfo(float).max)[:, None])
+        exact = pairs.exact(i + a, j)
+        order = np.lexsort((j, exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        if not per_column:
+            take = _first_of_each(i, k)
+            if bound is not None:
+                take &= exact <= bound[i + a, 0]
+            keep(i[take] + a, -1, j[take], exact[take])
             continue
-        sub = dist[np.ix_(rows, able)]
-        kk = min(k, len(able))
-        # donors are sorted by key, so that a stable sort by distance settles ties by key
-        best = np.sort(np.argpartition(sub, kk - 1, axis=1)[:, :kk], axis=1)
-        edge = np.take_along_axis(sub, best, 1).max(axis=1)
-        for i in np.flatnonzero((sub <= edge[:, None]).sum(axis=1) > kk):
-            # equal distances at the edge: the lowest keys of them belong in
-            near = np.flatnonzero(sub[i] <= edge[i])
-            best[i] = np.sort(near[np.argsort(sub[i][near], kind="stable")][:kk])
-        d = np.take_along_axis(sub, best, 1)
-        order = np.argsort(d, axis=1, kind="stable")
-        best, d = np.take_along_axis(best, order, 1), np.take_along_axis(d, order, 1)
-        row, col = np.nonzero(np.isfinite(d))
-        at = able[best[row, col]]
-        out["k"] += qk[rows[row]].tolist()
-        out["target"] += [t] * len(row)
-        out["dk"] += dk[at].tolist()
-        out["dist"] += d[row, col].tolist()
-        out["at"] += at.tolist()
-        out["val"] += dx[at, t].tolist() if t >= 0 else [np.nan] * len(row)
+        for t in np.flatnonzero(~pairs.q_known[rows].all(axis=0)):
+            asks = ~pairs.q_known[rows][:, t]
+            able = pairs.d_known[:, t]
+            at = np.flatnonzero(asks[i] & able[j])
+            at = at[_first_of_each(i[at], k)]
+            got = np.bincount(i[at], minlength=len(dist))
+            # beyond the edge nothing was looked at
+            last = np.zeros(len(dist))
+            np.maximum.at(last, i[at], exact[at])
+            limit = np.full(len(dist), np.inf) if bound is None else bound[rows][:, t]
+            short = asks & (edge < limit) & ((got < min(k, able.sum())) | (last > edge))
+            if short.any():
+                at = at[~short[i[at]]]
+                for r in np.flatnonzero(short):
+                    near = np.flatnonzero(able & np.isfinite(dist[r]))
+                    if len(near) > k:
+                        cut = np.partition(dist[r][near], k - 1)[k - 1] + 2 * slack[r]
+                        near = near[dist[r][near] <= cut]
+                    far = pairs.exact(np.full(len(near), r + a), near)
+                    top = np.lexsort((near, far))[:k]
+                    top = top[far[top] <= limit[r]]
+                    keep(np.full(len(top), r + a), t, near[top], far[top])
+            at = at[exact[at] <= limit[i[at]]]
+            keep(i[at] + a, t, j[at], exact[at])
+    row, target, at, dist = (np.concatenate([np.zeros(0, float if n == "dist" else int), *found[n]]) for n in found)
+    row, target, at = row.astype(int), target.astype(int), at.astype(int)
+    out = {"k": qk[row].tolist(), "target": target.tolist(), "dk": dk[at].tolist(), "dist": dist.tolist(), "at": at.tolist(),
+           "val": [dx[j, t] if t >= 0 else np.nan for j, t in zip(at, target, strict=True)] if per_column else [np.nan] * len(row)}
     return pd.DataFrame(out, dtype=None if out["k"] else object)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from imputeflow.operators import resample
 from imputeflow.operators.classify import holdout_cv, label_from_index, label_index, nested_cv
-from imputeflow.operators.knn import NeighbourJoin
+from imputeflow.operators.knn import NeighbourJoin, best_in_block
 from imputeflow.operators.knn_impute import KnnImputer
 from imputeflow.operators.metrics import ovo_auc
 from imputeflow.plans import policy
@@ -139,3 +139,60 @@ def test_grid_search_and_nested(spark):
     got = holdout_cv(df, df, SPEC, (3, 5), (2,), folds=3)
     assert got["accuracy"] > 0.7 and got["auc"] > 0.85 and got["depth"] == 2
     assert nested_cv(df, SPEC, (3,), (2,), outer=2, inner=2)["auc"] > 0.8
+
+
+@pytest.mark.parametrize("per_column", [False, True])
+@pytest.mark.parametrize("kind", ["plain", "grid", "far", "huge", "infinite"])
+def test_block_equals_all_pairs_in_order(per_column, kind):
+    """Matrix products choose the pairs; what comes out are the distances summed up column by column, ties by key."""
+    g = np.random.default_rng(5)
+    make = {"plain": lambda n: g.normal(size=(n, 4)), "grid": lambda n: g.integers(0, 3, (n, 4)).astype(float),
+            "far": lambda n: 1e6 + 1e-3 * g.normal(size=(n, 4)), "huge": lambda n: 1e160 * g.normal(size=(n, 4)),
+            "infinite": lambda n: np.where(g.random((n, 4)) < 0.02, np.inf, g.normal(size=(n, 4)))}[kind]
+    qx, dx, k = make(40), make(150), 3
+    if per_column:
+        qx[g.random(qx.shape) < 0.4], dx[g.random(dx.shape) < 0.4] = np.nan, np.nan
+    qk, dk = np.arange(40) * 3, np.arange(150)
+    bound = g.choice([0.0, 0.3, 2.0, np.inf], (40, 4 if per_column else 1))
+    want, within = [], []
+    for i in range(40):
+        dist, shared = np.zeros(150), np.zeros(150)
+        with np.errstate(all="ignore"):
+            for c in range(4):
+                both = ~np.isnan(qx[i, c]) & ~np.isnan(dx[:, c])
+                dist, shared = dist + np.where(both, (qx[i, c] - dx[:, c]) ** 2, 0.0), shared + both
+            dist = np.where((shared > 0) & (dk != qk[i]), dist / shared, np.inf)
+        for t in range(4) if per_column else (-1,):
+            if t >= 0 and not np.isnan(qx[i, t]):
+                continue
+            able = np.flatnonzero(np.isfinite(dist) & (~np.isnan(dx[:, t]) if t >= 0 else True))
+            best = [(int(qk[i]), t, int(j), float(dist[j])) for j in able[np.lexsort((able, dist[able]))][:k]]
+            want += best
+            within += [b for b in best if b[3] <= bound[i, max(t, 0)]]
+    rows = lambda found: sorted(zip(found.k, found.target, found.dk, found.dist))
+    assert rows(best_in_block(qx, qk, dx, dk, k, per_column)) == sorted(want)
+    assert rows(best_in_block(qx, qk, dx, dk, k, per_column, bound)) == sorted(within)
+
+
+def test_rows_with_patterns_of_their_own_share_cells(spark):
+    """600 rows with some 500 patterns of gaps don't make a cell each."""
+    g = np.random.default_rng(1)
+    x = np.where(g.random((600, 12)) < 0.4, np.nan, g.normal(size=(600, 12)))
+    rows = [(i, [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "k long, x array<double>").selectExpr("k", *[f"x[{i}] AS c{i}" for i in range(12)])
+    join = NeighbourJoin("k", [f"c{i}" for i in range(12)], 3, per_column=True, block_rows=100, query_rows=100)
+    _, cells = join._cells(join._distinct_donors(join._packed(df)).withColumn("s", join._strata()))
+    assert len(cells.ids) <= 100 and cells.n.sum() == 600
+
+
+def test_synthesis_meets_rows_of_the_seeds_classes_only(spark, monkeypatch):
+    met = []
+
+    class Watched(NeighbourJoin):
+        def join(self, queries, donors):
+            met.append({r.y for r in donors.select("y").distinct().collect()})
+            return super().join(queries, donors)
+
+    monkeypatch.setattr(resample, "NeighbourJoin", Watched)
+    resample.smote(points(spark, copies=False), SPEC).collect()
+    assert met == [{1}]
