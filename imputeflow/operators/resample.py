@@ -97,7 +97,9 @@ def _synthesise(seeds: DataFrame, df: DataFrame, spec: TableSpec, k: int, seed:
     ``seeds`` has the table's columns and ``__n``, the number of new rows. Per new row one
     draw picks the neighbour and one the place on the segment.
     """
-    near = NeighbourJoin(spec.key, spec.feats, k, group=spec.label, carry=True).join(seeds, df)
+    own = seeds.select(spec.label).distinct().collect()  # one row per class; rows of other classes have no part in it
+    mates_of = df.where(F.col(spec.label).isin(*[r[0] for r in own]))
+    near = NeighbourJoin(spec.key, spec.feats, k, group=spec.label, carry=True).join(seeds, mates_of)
     mates = near.groupBy(F.col("k").alias(spec.key)).agg(
         F.array_sort(F.collect_list(F.struct("rank", "dx"))).alias("__near"))  # at most k entries
     plan = _numbered(seeds.join(mates, spec.key), spec.key)
