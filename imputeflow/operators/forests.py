@@ -206,7 +206,9 @@ class Forest:
     def __init__(self, spec: ModelSpec, growth: Growth, edges: np.ndarray, trees: list, base: float = 0.0):
         self.spec, self.growth, self.edges, self.base = spec, growth, edges[list(spec.xs)], base
         self.roots, parts, at = [], [], 0
-        for heap, feat, cut, value in trees:
+        trees.reverse()  # a tree is forgotten once it is here
+        while trees:
+            heap, feat, cut, value = trees.pop()
             order = np.argsort(heap)
             heap, feat = heap[order], feat[order]
             left = np.searchsorted(heap, 2 * heap).astype(np.int32) + at
@@ -505,7 +507,7 @@ def _boost_large(df, spec, scale, growth, edges, local_rows) -> Forest:
     for t in range(growth.trees):
         heap, feat, cut, value = _grow_large(df, spec, scale, growth, edges, [t], local_rows, prior, base)[t]
         trees.append((heap, feat, cut, value / scale))
-        prior = Forest(spec, growth, edges, trees, base)
+        prior = Forest(spec, growth, edges, [*trees], base)
     return prior
 
 
@@ -532,8 +534,9 @@ def fit_models(df: DataFrame, specs: list[ModelSpec], growth: Growth, edges: np.
         for r in _grow_local(df, local, scales, growth, edges):
             found.setdefault(r.model, {})[r.tree] = (float(np.frombuffer(r.value)[0]) if r.tree == BASE
                                                      else _unblob(r, local[r.model].classes or 1))
-        for m, trees in found.items():
-            out[m] = Forest(local[m], growth, edges, [trees[t] for t in range(growth.trees)], trees.get(BASE, 0.0))
+        for m in list(found):
+            trees = found.pop(m)
+            out[m] = Forest(local[m], growth, edges, [trees.pop(t) for t in range(growth.trees)], trees.get(BASE, 0.0))
     for s in specs:
         if s.model in local:
             continue

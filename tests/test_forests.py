@@ -112,3 +112,19 @@ def test_grid_search_equals_separate_fits(table):
             if best is None or np.mean(right) > best[0] + 1e-12:
                 best = (np.mean(right), t, d)
     assert (found.trees, found.depth) == best[1:] and found.cv_accuracy == pytest.approx(best[0])
+
+
+def test_searches_hold_few_forests_at_a_time(table, monkeypatch):
+    """With little room, models are grown one by one; what is found stays the same."""
+    spec, grid = TableSpec("k", ("a", "b", "c"), "y"), ((2, 5), (1, 3, 6))
+    whole = classify.nested_cv(table, spec, *grid, 2, 2, 4)
+    calls = []
+
+    def watched(rows, specs, *rest):
+        calls.append(len(specs))
+        return fit_models(rows, specs, *rest)
+
+    monkeypatch.setattr(classify, "fit_models", watched)
+    monkeypatch.setattr(classify, "FOREST_BYTES", 1)
+    assert classify.nested_cv(table, spec, *grid, 2, 2, 4) == pytest.approx(whole)
+    assert calls == [1] * 6
