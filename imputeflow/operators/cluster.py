@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,14 +14,18 @@ from pyspark.sql import functions as F
 
 from imputeflow.functions.hashing import hash_uniform
 from imputeflow.functions.scalars import total
+from imputeflow.operators.knn import PAIR_BUDGET, PairDistances
 from imputeflow.operators.stats import assemble
-from imputeflow.session import small_table
+from imputeflow.session import cut_lineage, small_table
 
 # Fuzzifier, rounds and tolerance of fuzzy c-means.
 FUZZIFIER = 2.0
 FCM_ROUNDS = 150
 FCM_TOL = 1e-5
 LEAST_SQ_DISTANCE = 1e-12
+BLOCK_BYTES = 32 << 20  # of rows that all others meet at a time
+TASK_ROWS = 32768
+CLOSE = 1e7  # times the rounding of a matrix product; squared distances up to there are summed up column by column
 
 
 def squared_distance(cols, center) -> Column:
@@ -132,41 +137,60 @@ def silhouette_squared(df: DataFrame, cols, cluster: str = "cluster") -> float:
     return ClusteringEvaluator().evaluate(vec)
 
 
+def distance_sums(qx: np.ndarray, dx: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """Per row of ``qx`` the sum of its distances to the rows of each cluster (``member``: rows x clusters of 0 and 1)."""
+    pairs = PairDistances(qx, dx) if np.isfinite(qx).all() and np.isfinite(dx).all() else None
+    step = max(1, PAIR_BUDGET // max(1, len(dx)))
+    sums = [np.zeros((0, member.shape[1]))]
+    for at in range(0, len(qx), step):
+        rows = slice(at, min(at + step, len(qx)))
+        if pairs is None:  # what isn't known or infinite spoils the sums it belongs to
+            with np.errstate(all="ignore"):
+                sq = sum((qx[rows, j][:, None] - dx[:, j][None, :]) ** 2 for j in range(qx.shape[1]))
+        else:
+            sq, slack = pairs.all_pairs(rows)
+            i, j = np.nonzero(sq <= (CLOSE * slack)[:, None])  # a product's rounding counts between close rows
+            sq[i, j] = pairs.exact(i + at, j)
+            sq *= qx.shape[1]
+        sums.append(np.sqrt(sq) @ member)
+    return np.vstack(sums)
+
+
 def silhouette_rows(df: DataFrame, cols, key: str, cluster: str = "cluster",
-                    block_rows: int = 4096) -> DataFrame:
+                    block_rows: int | None = None) -> DataFrame:
     """``(key, silhouette)`` on plain distances, exact.
 
-    Every row has to meet every other, which is quadratic by definition; rows meet in
-    bounded blocks that pass on one sum per row and cluster.
+    Every row has to meet every other, which is quadratic by definition. All rows meet one block of bounded size after the
+    other, which is broadcast and dropped again; only a row's sums per cluster are kept of each.
     """
     cols = list(cols)
     sizes = {r[cluster]: r["count"] for r in df.groupBy(cluster).count().collect()}
     names = sorted(sizes)
-    nb = max(1, math.ceil(sum(sizes.values()) / block_rows))
+    n = sum(sizes.values())
+    nb = max(1, math.ceil(n / (block_rows or max(1, BLOCK_BYTES // (8 * len(cols))))))
     where = {c: i for i, c in enumerate(names)}
     rows = df.select(F.col(key).alias("k"), F.col(cluster).cast("int").alias("c"),
-                     F.array(*cols).alias("x"), F.pmod(F.xxhash64(key), F.lit(nb)).cast("int").alias("b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))
-    left = rows.withColumn("qb", F.col("b")).withColumn("db", every)
-    right = rows.withColumn("db", F.col("b")).withColumn("qb", every)
+                     F.array(*cols).alias("x"), F.pmod(F.xxhash64(key, *cols), F.lit(nb)).cast("int").alias("b"))
+    context = df.sparkSession.sparkContext
+    rows = cut_lineage(rows.repartition(max(2 * context.defaultParallelism, math.ceil(n / TASK_ROWS))))
     key_type = rows.schema["k"].dataType.simpleString()
 
-    def block(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(d):
-            return pd.DataFrame({"k": [], "c": [], "s": []}, dtype=object)
-        qx, dx = np.asarray(q["x"].tolist(), float), np.asarray(d["x"].tolist(), float)
-        member = np.zeros((len(d), len(names)))
-        member[np.arange(len(d)), d["c"].map(where)] = 1.0
-        sums = []
-        for at in range(0, len(qx), 256):
-            sq = np.zeros((len(qx[at:at + 256]), len(dx)))
-            for j in range(qx.shape[1]):
-                sq += (qx[at:at + 256, j][:, None] - dx[:, j][None, :]) ** 2
-            sums.append(np.sqrt(sq) @ member)
-        return pd.DataFrame({"k": q["k"], "c": q["c"], "s": np.vstack(sums).tolist()})
-
-    parts = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(
-        block, f"k {key_type}, c int, s array<double>")
+    def sums_to(block: int) -> DataFrame:
+        held = rows.where(F.col("b") == block).select("c", "x").toPandas()
+        dx, member = np.array(held["x"].tolist(), float).reshape(-1, len(cols)), np.zeros((len(held), len(names)))
+        member[np.arange(len(held)), held["c"].map(where)] = 1.0
+        shared = context.broadcast((dx, member))
+
+        def meet(batches):
+            for q in batches:
+                found = distance_sums(np.array(q["x"].tolist(), float).reshape(-1, len(cols)), *shared.value)
+                yield pd.DataFrame({"k": q["k"], "c": q["c"], "s": found.tolist()})
+
+        done = cut_lineage(rows.select("k", "c", "x").mapInPandas(meet, f"k {key_type}, c int, s array<double>"))
+        shared.destroy()
+        return done
+
+    parts = reduce(DataFrame.unionByName, [sums_to(b) for b in range(nb)])
     sums = parts.groupBy("k", "c").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(len(names))]).alias("s"))
     own = a = None
     for i, c in enumerate(names):

@@ -197,3 +197,22 @@ def test_a_missing_requirement_is_not_hidden(monkeypatch):
         importing("zstandard")
     assert "flagship" in importing("corpus_pipeline").queries()
     importlib.reload(entry)
+
+
+def test_silhouette_meets_one_block_at_a_time(spark):
+    """Close rows far from the origin, copies and blocks of some rows; nothing is copied per block or sorted for a cogroup."""
+    g = np.random.default_rng(2)
+    x = np.vstack([1e4 + 1e-5 * g.normal(size=(20, 2)), g.normal(size=(30, 2)), np.repeat([[5.0, 5.0]], 10, axis=0)])
+    c = np.arange(60) % 3
+    df = spark.createDataFrame([(i, float(a), float(b), int(k)) for i, ((a, b), k) in enumerate(zip(x, c))], "k int, a double, b double, cluster int")
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = {}
+    for i in range(60):
+        mean = [dist[i, c == j].sum() / max((c == j).sum() - (j == c[i]), 1) for j in range(3)]
+        near = min(mean[j] for j in range(3) if j != c[i])
+        top = max(mean[c[i]], near)
+        want[i] = (near - mean[c[i]]) / top if top else 0.0
+    for block in (None, 7):
+        found = cluster.silhouette_rows(df, ["a", "b"], "k", block_rows=block)
+        assert "CoGroup" not in found._jdf.queryExecution().toString()
+        assert {r.k: r.silhouette for r in found.collect()} == pytest.approx(want, abs=1e-6)
