@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from imputeflow.functions.hashing import hash_uniform
 from imputeflow.functions.scalars import total
-from imputeflow.operators.knn import PAIR_BUDGET, PairDistances
+from imputeflow.operators.knn import PAIR_BUDGET, PairDistances, list_rows
 from imputeflow.operators.stats import assemble
 from imputeflow.session import cut_lineage, small_table
 
@@ -176,9 +176,9 @@ def silhouette_rows(df: DataFrame, cols, key: str, cluster: str = "cluster",
     key_type = rows.schema["k"].dataType.simpleString()
 
     def sums_to(block: int) -> DataFrame:
-        held = rows.where(F.col("b") == block).select("c", "x").toPandas()
-        dx, member = np.array(held["x"].tolist(), float).reshape(-1, len(cols)), np.zeros((len(held), len(names)))
-        member[np.arange(len(held)), held["c"].map(where)] = 1.0
+        held = rows.where(F.col("b") == block).select("c", "x").toArrow()
+        dx, member = list_rows(held.column("x"), len(cols)), np.zeros((len(held), len(names)))
+        member[np.arange(len(held)), [where[c] for c in held.column("c").to_pylist()]] = 1.0
         shared = context.broadcast((dx, member))
 
         def meet(batches):

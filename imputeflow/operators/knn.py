@@ -31,6 +31,7 @@ LARGEST_BLOCK = 32768
 MAX_CELLS = 16384
 PATTERN_CELLS = 64
 SPLIT_SAMPLE = 200_000
+SPLIT_BYTES = 32 << 20  # of sampled rows on the driver; they place the borders of cells only
 PAIR_BUDGET = 1 << 20
 
 
@@ -131,6 +132,18 @@ def _matrix(series) -> np.ndarray:
     return np.array(list(series), float)
 
 
+def list_rows(column, width: int) -> np.ndarray:
+    """An Arrow column of lists as rows of a matrix, nulls as NaN."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+
+
+def _places(names: list) -> dict:
+    at: dict = {}
+    for i, name in enumerate(names):
+        at.setdefault(name, []).append(i)
+    return at
+
+
 class NeighbourJoin:
     """``k`` nearest donors of every query row.
 
@@ -190,11 +203,10 @@ class NeighbourJoin:
                                 np.zeros(len(by_group)), np.full(len(by_group), -1))
             stratum = "g"
         else:
-            sample: dict = {}
-            picked = donors.sample(min(1.0, SPLIT_SAMPLE / n), seed=7).select("s", "x").collect()
-            for r in picked:
-                sample.setdefault(r.s, []).append(r.x)
-            sample = {s: _matrix(v) for s, v in sample.items()}
+            few = min(SPLIT_SAMPLE, SPLIT_BYTES // (8 * len(self.cols)))
+            picked = donors.sample(min(1.0, few / n), seed=7).select("s", "x").toArrow()
+            x = list_rows(picked.column("x"), len(self.cols))
+            sample = {s: x[at] for s, at in _places(picked.column("s").to_pylist()).items()}
             forest = grow_forest({s: c for (_, s), c in counts.items()}, sample, self.block_rows)
             stratum = "s"
 

@@ -2,9 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from imputeflow.operators import resample
+from imputeflow.operators import knn, resample
 from imputeflow.operators.classify import holdout_cv, label_from_index, label_index, nested_cv
-from imputeflow.operators.knn import NeighbourJoin, best_in_block
+from imputeflow.operators.knn import NeighbourJoin, best_in_block, grow_forest
 from imputeflow.operators.knn_impute import KnnImputer
 from imputeflow.operators.metrics import ovo_auc
 from imputeflow.plans import policy
@@ -196,3 +196,17 @@ def test_synthesis_meets_rows_of_the_seeds_classes_only(spark, monkeypatch):
     monkeypatch.setattr(resample, "NeighbourJoin", Watched)
     resample.smote(points(spark, copies=False), SPEC).collect()
     assert met == [{1}]
+
+
+def test_sample_of_borders_is_bounded_in_bytes(spark, monkeypatch):
+    df = points(spark, n=400, copies=False).persist()
+    seen = []
+
+    def watched(strata, sample, target):
+        seen.append(sum(x.nbytes for x in sample.values()))
+        return grow_forest(strata, sample, target)
+
+    monkeypatch.setattr(knn, "grow_forest", watched)
+    monkeypatch.setattr(knn, "SPLIT_BYTES", 100 * 24)
+    got = {(r.k, r.target, r.dk, r["rank"]) for r in NeighbourJoin("k", SPEC.feats, 3, block_rows=20, query_rows=16).join(df, df).collect()}
+    assert got == brute(df, 3) and 0 < seen[0] < 200 * 24
